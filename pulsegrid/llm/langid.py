@@ -122,7 +122,8 @@ def fit(docs: DataFrame) -> Model:
 
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     some = known.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE)
-    sample = known.join(some.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi")
+    # At most SAMPLE ids a language: texts stay where they are.
+    sample = known.join(F.broadcast(some.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
 
     def place(key, rows):
         rows = rows.sort_by("id").slice(0, 2 * SAMPLE)  # repeated ids can add rows

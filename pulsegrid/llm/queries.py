@@ -1,5 +1,6 @@
 """The training-data queries and their SQL, where SQL can express them."""
 
+from .bpe import op7_bpe
 from .langid import op3_language_id
 from .licenses import op6_licenses
 from .packing import op8_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
+    "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
