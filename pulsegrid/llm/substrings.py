@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, table, written
+from .common import WS, let, table, written
 
 WINDOW, SEED = 20, 8
 #: Segments of one seed that a task holds at most.
@@ -78,7 +78,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with a repeated seed: (seed, doc, place of the first, number, text); of large groups each window by its hash."""
+    """Runs of windows with a repeated seed: (seed, doc, place of the first, number, words, whether the group is large)."""
     for batch in batches:
         out: list[tuple] = []
         cols = [batch[c].to_pylist() for c in ("doc", "part", "text", "places", "large")]
@@ -91,14 +91,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.nonzero(np.diff(own))[0] + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)], strict=True):
                 kind, at = int(repeated[own[a]]), (part << 32) + a
-                if kind == 1:
-                    out.append((int(s[own[a]]), doc, at, b - a, b" ".join(words[a : b + WINDOW - 1])))
-                elif kind == 2:
-                    for i in range(a, b):
-                        out.append((None, doc, at + i - a, 1, xxhash.xxh3_128_digest(b" ".join(words[i : i + WINDOW]))))
-        rows = list(zip(*out, strict=True)) if out else [[]] * 5
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(list(r), t) for r, t in zip(rows, types, strict=True)], names=["seed", "doc", "place", "n", "words"])
+                if kind:
+                    out.append((int(s[own[a]]), doc, at, b - a, b" ".join(words[a : b + WINDOW - 1]), kind == 2))
+        rows = list(zip(*out, strict=True)) if out else [[]] * 6
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(list(r), t) for r, t in zip(rows, types, strict=True)], names=["seed", "doc", "place", "n", "words", "large"])
 
 
 def deep_nodes(suffixes: list[tuple[tuple, tuple]], depth: int) -> Iterator[tuple[int, list[tuple]]]:
@@ -181,12 +178,20 @@ def covered_runs(docs: DataFrame) -> DataFrame:
     places = written(found.groupBy("doc", "part").agg(F.collect_set(F.struct("at", "large")).alias("s")), "places")
     texts = _only(docs, places)
     there = texts.join(places, ["doc", "part"]).select("doc", "part", "text", F.col("s.at").alias("places"), F.col("s.large").alias("large"))
-    segments = written(there.mapInArrow(_segments, "seed long, doc long, place long, n int, words binary"), "segments")
-    small = segments.where("seed IS NOT NULL").repartition("seed").sortWithinPartitions("seed").mapInArrow(_trees, "doc long, place long, n int")
-    whole = segments.where("seed IS NULL").select("words", F.struct("doc", "place").alias("at"))
-    first = whole.groupBy("words").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1")
-    later = whole.join(first, "words").where("at != first").select("at.doc", "at.place", F.lit(1).alias("n"))
-    return small.unionByName(later)
+    segments = written(there.mapInArrow(_segments, "seed long, doc long, place long, n int, words binary, large boolean"), "segments")
+    small = segments.where("NOT large").repartition("seed").sortWithinPartitions("seed").mapInArrow(_trees, "doc long, place long, n int")
+    # Large groups: equal segments first, the earliest of each then by its windows; sums find the earliest place.
+    whole = segments.where("large").select("words", "n", F.struct("doc", "place").alias("at"))
+    first = written(whole.groupBy("words").agg(F.min("at").alias("first")), "firsts")
+    later = whole.join(first, "words").where("at != first").select("at.doc", "at.place", "n")
+    split = F.split(F.col("words").cast("string"), " ")
+    windows = let(split, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.array_join(F.slice(w, i + 1, WINDOW), " ")))
+    each = first.select("first", F.posexplode(windows).alias("i", "window")).select(
+        "window", F.struct(F.col("first.doc").alias("doc"), (F.col("first.place") + F.col("i")).alias("place")).alias("at")
+    )
+    earliest = each.groupBy("window").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1")
+    again = each.join(earliest, "window").where("at != first").select("at.doc", "at.place", F.lit(1).alias("n"))
+    return small.unionByName(later).unionByName(again)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
