@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import WS, let, table, written
 
 WINDOW, SEED = 20, 8
-#: Segments of one seed that a task holds at most.
-GROUP = 4000
+#: Segments of one seed (some 250 bytes each) that a task holds at most.
+GROUP = 20_000
 #: Ids that are broadcast to read only the texts concerned; with more, texts are shuffled without that.
 IDS = 4_000_000
 #: Null ids come last.

@@ -230,7 +230,7 @@ def test_binomial_tail(spark):
         assert abs(p - sum(comb(n, i) * 0.05**i * 0.95 ** (n - i) for i in range(k + 1))) < 1e-9
 
 
-@pytest.mark.parametrize("group", [4000, 1])
+@pytest.mark.parametrize("group", [20_000, 1])
 def test_substrings(spark, docs, monkeypatch, group):
     monkeypatch.setattr(substrings, "GROUP", group)
     one = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
