@@ -170,7 +170,8 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def covered_runs(docs: DataFrame) -> DataFrame:
     """(doc, place, n): runs of windows whose word sequence starts earlier too; docs as of _keyed."""
     anchors = written(docs.mapInArrow(_anchors, "seed long, doc long, place long"), "anchors")
-    repeated = anchors.groupBy("seed").count().where("count > 1").select("seed", (F.col("count") > GROUP).alias("large"))
+    # Written, so that the join reads plain shuffles on both sides and a hot seed's rows can be split.
+    repeated = written(anchors.groupBy("seed").count().where("count > 1").select("seed", (F.col("count") > GROUP).alias("large")), "repeated")
     found = anchors.join(repeated, "seed").select(
         "doc", F.shiftright("place", 32).alias("part"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "large"
     )
@@ -189,7 +190,7 @@ def covered_runs(docs: DataFrame) -> DataFrame:
     each = first.select("first", F.posexplode(windows).alias("i", "window")).select(
         "window", F.struct(F.col("first.doc").alias("doc"), (F.col("first.place") + F.col("i")).alias("place")).alias("at")
     )
-    earliest = each.groupBy("window").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1")
+    earliest = written(each.groupBy("window").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "earliest")
     again = each.join(earliest, "window").where("at != first").select("at.doc", "at.place", F.lit(1).alias("n"))
     return small.unionByName(later).unionByName(again)
 
