@@ -30,3 +30,35 @@ def unix_seconds(t: Column, now: Column) -> Column:
         .otherwise(t)
         .cast("long")
     )
+
+
+def severity_share(severity: Column) -> Column:
+    """Severity in [0, 1]: levels above 1 are quarters; null, NaN and non-positive ones are 0."""
+    return F.when(severity.isNull() | F.isnan(severity) | (severity <= 0), 0.0).when(severity <= 1, severity).otherwise(F.least(severity / 4, F.lit(1.0)))
+
+
+def log_bin(value: Column, bins: int, low: float, high: float) -> Column:
+    """Bin of a value on a logarithmic scale from low to high, clamped."""
+    place = F.floor(F.log(value / low) / F.log(F.lit(high) / low) * bins)
+    return F.when(value <= low, 0).when(value >= high, bins - 1).otherwise(F.least(place, F.lit(bins - 1))).cast("long")
+
+
+def uncertainty(value: Column, mean: Column, std: Column, share: Column) -> Column:
+    """Mean of a step of the distance in deviations (1, 2 and 3 of them) and of share / (share + 1); 0 without spread."""
+    z = F.abs(value - mean) / std
+    step = F.when(z > 3, 0.8).when(z > 2, 0.5).when(z > 1, 0.2).otherwise(0.0)
+    return F.when(std < 1e-9, 0.0).otherwise((step + share / (share + 1)) / 2)
+
+
+def keep_score(events: Column, priority: Column, age: Column) -> Column:
+    """How much a profile is worth keeping: many events, high priority, seen lately."""
+    return F.log(events) * (1 + 0.5 * priority) / (age + 1)
+
+
+def plain_text(text: Column) -> Column:
+    """Lower case, blanks collapsed and trimmed."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def incident_id(reason: Column, key: Column, bucket: Column) -> Column:
+    return F.concat(F.lit("inc_"), F.substring(F.sha2(F.concat_ws(":", reason, key, bucket.cast("string")), 256), 1, 16))

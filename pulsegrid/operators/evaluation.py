@@ -20,7 +20,7 @@ def labelled(s: DataFrame, windows: DataFrame, bucket: int = 86400, threshold: f
         .groupBy("event_id").agg(F.min("anomaly_id").alias("anomaly_id"))
     )
     return s.join(hits, "event_id", "left").select(
-        "event_id", "detector", "score", "t", F.col("anomaly_id").isNotNull().alias("truth"), "anomaly_id", (F.col("score") >= threshold).alias("flagged")
+        "event_id", "entity", "detector", "score", "t", F.col("anomaly_id").isNotNull().alias("truth"), "anomaly_id", (F.col("score") >= threshold).alias("flagged")
     )
 
 

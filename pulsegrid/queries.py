@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions.scoring import excess_score, severity_level, unix_seconds
+from .functions.scoring import excess_score, incident_id, keep_score, log_bin, plain_text, severity_level, severity_share, uncertainty, unix_seconds
+from .operators import adaptive as ad
 from .operators import evaluation as ev
 from .operators import incidents as inc
+from .operators import learning as learn
 from .operators import windows as win
-from .plans import fold
+from .plans import fold, steps
 from .sources.events import events, flatten_otel, signals
 
 
@@ -30,6 +32,28 @@ def _labelled(spark, d):
     return ev.labelled(signals(spark, d), ev.truth_windows(events(spark, d)))
 
 
+def _outputs(spark, d):
+    """Three detectors' outputs per event: the value's own score, its rarity and the entity's behaviour."""
+    s = signals(spark, d).select("event_id", "score")
+    s = s.join(ad.fading_rarity(events(spark, d)), "event_id").join(ad.behaviour(events(spark, d)), "event_id")
+    one = lambda name, score, weight, sure: F.struct(F.lit(name).alias("name"), score.alias("score"), F.lit(weight).alias("weight"), F.lit(sure).alias("confidence"))
+    rare = one("rarity", F.col("rarity") / 100, 0.8, 0.75)
+    return s.select("event_id", F.array(one("value", F.col("score"), 1.0, 0.9), rare, one("behaviour", F.col("deviation"), 0.6, 0.7)).alias("outputs"))
+
+
+def _fold(step):
+    return lambda s, d: fold.keyed_fold(events(s, d), dict, *step)
+
+
+def _scalars(e):
+    v = F.col("value")
+    return e.select(
+        "event_id", plain_text(F.concat(F.lit("  A "), F.upper("detector"), F.lit("  b "))).alias("text"), severity_share(v / 50).alias("severity"),
+        log_bin(v, 20, 1.0, 1000.0).alias("bin"), F.round(uncertainty(v, F.lit(50.0), F.lit(30.0), v / 100), 6).alias("uncertainty"),
+        F.round(keep_score(v + 1, F.lit(1), F.lit(2)), 6).alias("keep"), (F.floor(F.col("t") / 3600) % 24).alias("hour"),
+    )
+
+
 QUERIES = {
     "signals": lambda s, d: signals(s, d).select("event_id", "entity", "score", severity_level(F.col("score")).alias("severity"), F.round(excess_score(F.col("value"), F.lit(50.0)), 6).alias("excess")),
     "time_units": lambda s, d: events(s, d).select("event_id", unix_seconds(F.col("t") * F.when(F.col("event_id") % 3 == 0, F.lit(10**9)).when(F.col("event_id") % 3 == 1, 1000).otherwise(1), F.lit(0)).alias("t")),
@@ -46,6 +70,31 @@ QUERIES = {
     "duplicates_removed": lambda s, d: win.duplicates_removed(events(s, d)),
     "ewma_threshold": lambda s, d: fold.ewma(events(s, d)),
     "page_hinkley": lambda s, d: fold.page_hinkley(events(s, d)),
+    "holt_winters": _fold(steps.holt_winters()),
+    "cusum": _fold(steps.cusum(50.0, 5.0, 100.0)),
+    "spectral_residual": _fold(steps.spectral_residual()),
+    "adwin": _fold(steps.adwin(60, 15)),
+    "level_and_drift": _fold(steps.both(steps.holt_winters(), steps.adwin(60, 15))),
+    "scalar_functions": lambda s, d: _scalars(events(s, d)),
+    "rolling_percentile": lambda s, d: ad.rolling_percentile(events(s, d)),
+    "rolling_mad": lambda s, d: ad.rolling_mad(events(s, d)),
+    "fading_rarity": lambda s, d: ad.fading_rarity(events(s, d)),
+    "shingles": lambda s, d: ad.shingles(events(s, d)).select("event_id", F.col("shingle")[0].alias("oldest"), F.col("shingle")[9].alias("newest")),
+    "spectra": lambda s, d: ad.spectra(events(s, d)),
+    "seasonality": lambda s, d: ad.seasonality(events(s, d)),
+    "rolling_drift": lambda s, d: ad.rolling_drift(events(s, d)),
+    "block_divergence": lambda s, d: ad.block_divergence(events(s, d)),
+    "decomposition": lambda s, d: ad.decomposition(events(s, d)),
+    "behaviour": lambda s, d: ad.behaviour(events(s, d)),
+    "ensemble": lambda s, d: ad.ensemble(_outputs(s, d)),
+    "detector_weights": lambda s, d: learn.detector_weights(_labelled(s, d)),
+    "upper_bounds": lambda s, d: learn.upper_bounds(_labelled(s, d)),
+    "incident_quality": lambda s, d: learn.incident_quality(_labelled(s, d)),
+    "incident_edges": lambda s, d: learn.incident_edges(signals(s, d), inc.all_candidates(signals(s, d))),
+    "incident_ids": lambda s, d: inc.all_candidates(signals(s, d)).select("reason", "key", incident_id(F.col("reason"), F.col("key"), F.floor(F.col("first_seen") / 60)).alias("id")),
+    "corroborated": lambda s, d: learn.corroborated(signals(s, d)),
+    "kept_profiles": lambda s, d: learn.kept_profiles(events(s, d)),
+    "dead_letters": lambda s, d: learn.dead_letters(events(s, d)),
     "candidates": lambda s, d: inc.all_candidates(signals(s, d)),
     "incident_status": lambda s, d: inc.with_status(inc.all_candidates(signals(s, d))),
     "policy": lambda s, d: inc.compiled_policy(signals(s, d)),
@@ -82,8 +131,60 @@ _F = """count(*) FILTER (truth AND flagged) AS tp, count(*) FILTER (NOT truth AN
 _PRF = """tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0.0 END AS recall,
  CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) ELSE 0.0 END AS f1"""
 _ROLL = "SELECT entity, t // {n} * {n} AS start, count(*) AS n, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high FROM e GROUP BY 1, 2"
+_N = _E + f", n AS (SELECT *, row_number() OVER {_KEY}) - 1 AS n FROM e)"
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_LAST50 = "FILTER (value IS NOT NULL) OVER " + _KEY + " ROWS 49 PRECEDING)"
+_RARE = f"""r0 AS (SELECT *, power(0.999::DOUBLE, -n) AS w, CASE WHEN value <= 0.1 THEN 0 WHEN value >= 10000 THEN 49 ELSE least(floor(ln(value / 0.1) / ln(10000 / 0.1::DOUBLE) * 50), 49) END AS bin FROM n),
+ r1 AS (SELECT event_id, coalesce(sum(w) OVER (PARTITION BY entity, bin ORDER BY n {_BEFORE}, 0) AS own, coalesce(sum(w) OVER (PARTITION BY entity ORDER BY n {_BEFORE}, 0) AS total FROM r0),
+ rare AS (SELECT event_id, CASE WHEN total = 0 THEN 1.0::DOUBLE WHEN own / total < 0.001 THEN 100.0 ELSE round(total / own, 4) END AS rarity FROM r1)"""
+_PRIOR = "count(*) OVER (PARTITION BY entity, {c} ORDER BY n " + _BEFORE + " AS {c}"
+_BEHAVE = f"""b0 AS (SELECT event_id, entity, detector, n, t // 3600 % 24 AS hour, floor(log2(coalesce(t - lag(t) OVER {_KEY}), 0) + 1)) AS gap_bin, floor(value / 25) AS bin FROM n),
+ b1 AS (SELECT event_id, n, {', '.join(_PRIOR.format(c=c) for c in ('hour', 'gap_bin', 'bin', 'detector'))} FROM b0),
+ behave AS (SELECT event_id, CASE WHEN n < 50 THEN 0.0::DOUBLE ELSE round(greatest(CASE WHEN hour < n // 24 // 2 THEN 0.3::DOUBLE ELSE 0 END, CASE WHEN detector = 0 THEN 0.3::DOUBLE ELSE 0 END,
+ CASE WHEN 1 - gap_bin / n > 0.8 THEN 0.3::DOUBLE * (1 - gap_bin / n) ELSE 0 END, CASE WHEN 1 - bin / n > 0.8 THEN 0.2::DOUBLE * (1 - bin / n) ELSE 0 END), 4) END AS deviation FROM b1)"""
+_SPECTRA = """f AS (SELECT entity, n // 24 AS block, CAST(k AS INTEGER) AS k, count(*) AS c, sum(value * cos(2 * pi() / 24 * k * (n % 24))) AS re, sum(value * sin(2 * pi() / 24 * k * (n % 24))) AS im FROM n, range(8) AS q(k) GROUP BY 1, 2, 3),
+ m AS (SELECT entity, block, k, round(sqrt(re * re + im * im) / 24, 4) AS magnitude FROM f WHERE c = 24)"""
+_DRIFT = f"""SELECT event_id, count(value) OVER a AS c0, avg(value) OVER a AS m0, var_pop(value) OVER a AS v0, count(value) OVER b AS c1, avg(value) OVER b AS m1, var_pop(value) OVER b AS v1
+ FROM e WINDOW a AS {_KEY} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS {_KEY} ROWS BETWEEN 39 PRECEDING AND 20 PRECEDING)"""
+_QUALITY = """, i AS (SELECT entity, detector, count(*) AS c, count(DISTINCT anomaly_id) AS a FROM x JOIN (SELECT event_id, entity FROM s) USING (event_id) WHERE score >= 0.2 GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
 SQL = {
+    "scalar_functions": f"""WITH {_E} SELECT event_id, 'a ' || lower(detector) || ' b' AS text, CASE WHEN value IS NULL OR value <= 0 THEN 0.0 WHEN value / 50 <= 1 THEN value / 50 ELSE least(value / 200, 1.0) END AS severity,
+ CAST(CASE WHEN value <= 1 THEN 0 WHEN value >= 1000 THEN 19 ELSE least(19, floor(ln(value) / ln(1000::DOUBLE) * 20)) END AS BIGINT) AS bin,
+ round((CASE WHEN abs(value - 50) / 30 > 3 THEN 0.8::DOUBLE WHEN abs(value - 50) / 30 > 2 THEN 0.5 WHEN abs(value - 50) / 30 > 1 THEN 0.2 ELSE 0 END + value / 100 / (value / 100 + 1)) / 2, 6) AS uncertainty,
+ round(ln(value + 1) * 1.5::DOUBLE / 3, 6) AS keep, t // 3600 % 24 AS hour FROM e""",
+    "rolling_percentile": f"WITH {_E}, w AS (SELECT event_id, list_sort(list(value) {_LAST50}) AS s FROM e) SELECT event_id, CASE WHEN len(s) >= 10 THEN s[1 + CAST(floor(0.95::DOUBLE * (len(s) - 1)) AS BIGINT)] END AS threshold FROM w",
+    "rolling_mad": f"""WITH {_E}, w AS (SELECT *, list_sort(list(value) {_LAST50}) AS s FROM e), m AS (SELECT *, s[1 + len(s) // 2] AS median FROM w),
+ f AS (SELECT *, list_sort(list(abs(value - median)) {_LAST50}) AS far FROM m) SELECT event_id, CASE WHEN len(s) >= 10 THEN round(median + 3 * 1.4826::DOUBLE * far[1 + len(far) // 2], 4) END AS threshold FROM f""",
+    "fading_rarity": f"WITH {_N}, {_RARE} SELECT event_id, rarity FROM rare",
+    "shingles": f"WITH {_E}, l AS (SELECT event_id, list(value) {_LAST50.replace('49', '9')} AS s FROM e) SELECT event_id, s[1] AS oldest, s[10] AS newest FROM l WHERE len(s) = 10",
+    "spectra": f"WITH {_N}, {_SPECTRA} SELECT entity, block, k, magnitude FROM m",
+    "seasonality": f"WITH {_N}, {_SPECTRA} SELECT entity, max(magnitude) > 0.4::DOUBLE * sum(magnitude) AS seasonal FROM m WHERE block = 0 GROUP BY 1",
+    "rolling_drift": f"""WITH {_E}, d AS ({_DRIFT}), g AS (SELECT *, sqrt(1 / c0 + 1 / c1) AS m, greatest((c0 * v0 + c1 * v1) / (c0 + c1), 0.0001) AS var FROM d WHERE c0 >= 10 AND c1 >= 10)
+ SELECT event_id, round(abs(m0 - m1) / (sqrt(2 * var * m * ln(1000::DOUBLE)) + 2::DOUBLE / 3 * m * ln(1000::DOUBLE)), 4) AS drift FROM g""",
+    "block_divergence": f"""WITH {_N}, h AS (SELECT entity, n // 20 AS block, floor(value / 50) AS bin, count(*) AS c FROM n GROUP BY 1, 2, 3), p AS (SELECT * FROM h QUALIFY sum(c) OVER (PARTITION BY entity, block) = 20)
+ SELECT a.entity, a.block, round(sum(b.c / 20 * ln(b.c / a.c)), 4) AS divergence FROM p AS a JOIN p AS b ON a.entity = b.entity AND a.bin = b.bin AND b.block = a.block - 1 GROUP BY 1, 2""",
+    "decomposition": f"""WITH {_E}, l AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY t DESC, event_id DESC) AS back FROM e QUALIFY back <= 24),
+ a AS (SELECT *, avg(value) OVER {_KEY} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS trend FROM l), b AS (SELECT *, avg(value - trend) OVER (PARTITION BY entity, back % 8) AS season FROM a), c AS (SELECT *, value - trend - season AS rest FROM b)
+ SELECT event_id, round(trend, 4) AS trend, round(season, 4) AS season, round(rest, 4) AS rest,
+ count(rest) OVER z >= 10 AND abs(rest - avg(rest) OVER z) > 2 * stddev_pop(rest) OVER z AS outlier FROM c WINDOW z AS (PARTITION BY entity)""",
+    "behaviour": f"WITH {_N}, {_BEHAVE} SELECT event_id, deviation FROM behave",
+    "ensemble": f"""WITH {_N}, {_RARE}, {_BEHAVE}, o AS (SELECT event_id, least(1.0, value / 200) AS v, rarity / 100 AS r, deviation AS d FROM e JOIN rare USING (event_id) JOIN behave USING (event_id)),
+ g AS (SELECT *, v * 0.9::DOUBLE AS cv, r * 0.8::DOUBLE * 0.75::DOUBLE AS cr, d * 0.6::DOUBLE * 0.7::DOUBLE AS cd FROM o)
+ SELECT event_id, round((cv + cr + cd) / 1.92::DOUBLE, 6) AS score, round(0.6::DOUBLE * (CAST(v > 0.5 AS INT) + CAST(r > 0.5 AS INT) + CAST(d > 0.5 AS INT)) / 3 + 0.4::DOUBLE * 1.92 / 2.4, 6) AS confidence,
+ array_to_string(list_transform(list_sort([{{'c': -cv, 'i': 0, 'n': 'value'}}, {{'c': -cr, 'i': 1, 'n': 'rarity'}}, {{'c': -cd, 'i': 2, 'n': 'behaviour'}}])[1:2], lambda q: q.n), ',') AS top FROM g""",
+    "detector_weights": f"""WITH {_L}, a AS (SELECT detector, 1 + count(*) FILTER (flagged = truth) AS alpha, 1 + count(*) FILTER (flagged != truth) AS beta FROM x GROUP BY 1)
+ SELECT detector, alpha, beta, round(alpha / (alpha + beta) / sum(alpha / (alpha + beta)) OVER (), 6) AS weight FROM a""",
+    "upper_bounds": f"WITH {_L}, a AS (SELECT detector, count(*) AS n, avg(CAST(flagged = truth AS INT)) AS mean FROM x GROUP BY 1) SELECT detector, n, round(mean + sqrt(2 * ln(sum(n) OVER ()) / n), 6) AS bound FROM a",
+    "incident_quality": f"""WITH {_L}{_QUALITY}, y AS (SELECT anomaly_id, count(DISTINCT (entity, detector)) AS i FROM x JOIN (SELECT event_id, entity FROM s) USING (event_id) SEMI JOIN i USING (entity, detector) WHERE score >= 0.2 AND anomaly_id IS NOT NULL GROUP BY 1)
+ SELECT 'incidents' AS "of", count(*) AS "all", count(*) FILTER (a > 0) AS found, count(*) FILTER (a > 1) AS several FROM i HAVING count(*) > 0 UNION ALL SELECT 'anomalies', count(*), count(*), count(*) FILTER (i > 1) FROM y HAVING count(*) > 0""",
+    "incident_edges": f"""WITH {_C}, k AS (SELECT event_id, unnest(['trace', 'semantic', 'temporal']) AS reason, unnest([CAST(trace_id AS VARCHAR), entity || ':' || detector, CAST(t // 60 AS VARCHAR)]) AS key FROM s WHERE score >= 0.2)
+ SELECT DISTINCT reason, key, event_id FROM k SEMI JOIN c USING (reason, key)""",
+    "incident_ids": f"WITH {_C} SELECT reason, key, 'inc_' || left(sha256(reason || ':' || key || ':' || CAST(first_seen // 60 AS VARCHAR)), 16) AS id FROM c",
+    "corroborated": f"WITH {_S}, f AS (SELECT DISTINCT t, detector FROM s WHERE score >= 0.5) SELECT event_id, EXISTS (SELECT 1 FROM f WHERE f.detector != s.detector AND f.t >= s.t - 1 AND f.t <= s.t + 1) AS corroborated FROM s",
+    "kept_profiles": f"""WITH {_E}, p AS (SELECT entity, count(*) AS events, max(t) AS last FROM e GROUP BY 1), q AS (SELECT entity, events, round(ln(events) / (((SELECT max(t) FROM e) - last) / 86400 + 1), 6) AS score FROM p)
+ SELECT * FROM q ORDER BY events >= 10 DESC, score DESC, entity LIMIT 100""",
+    "dead_letters": f"WITH {_E}, m AS (SELECT event_id, concat_ws(',', CASE WHEN entity IS NULL THEN 'entity' END, CASE WHEN detector IS NULL THEN 'detector' END, CASE WHEN trace_id IS NULL THEN 'trace_id' END, CASE WHEN value IS NULL THEN 'value' END, CASE WHEN t IS NULL THEN 't' END) AS missing FROM e) SELECT * FROM m WHERE missing != ''",
     "signals": f"WITH {_S} SELECT event_id, entity, score, CASE WHEN score >= 0.9 THEN 4 WHEN score >= 0.75 THEN 3 WHEN score >= 0.6 THEN 2 WHEN score >= 0.4 THEN 1 ELSE 0 END AS severity, round(CASE WHEN value <= 50 THEN 0.0 ELSE least(value / 50 - 1, 2.0) / 2 END, 6) AS excess FROM s",
     "time_units": f"WITH {_E} SELECT event_id, t FROM e",
     "otel_flatten": f"WITH {_E} SELECT CAST(entity AS VARCHAR) AS entity, value, t * 1000000000 AS t_ns, CAST(trace_id AS VARCHAR) AS trace_id FROM e",
