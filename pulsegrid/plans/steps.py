@@ -44,11 +44,11 @@ def cusum(target: float = 0.0, slack: float = 0.5, limit: float = 4.0, lead: int
         down = max(floor, s.get("down", 0.0) - value + target - slack)
         sums = s["sums"] = [*s.get("sums", []), max(up, down)][-KEPT:]
         if len(sums) >= HEAD_EVENTS:
-            s["adapted"] = max(limit, float(np.mean(sums) + 3 * np.std(sums)))
+            mean = sum(sums) / len(sums)
+            s["adapted"] = max(limit, mean + 3 * math.sqrt(sum((x - mean) ** 2 for x in sums) / len(sums)))
         cut = s["adapted"] if n > SETTLED else limit
-        past = np.array(sums[-lead - 1 : -1][::-1])
-        arm = np.arange(1, len(past) + 1) * slack / 2
-        turned = len(sums) >= lead and bool((abs(sums[-1] - past) > arm).any())
+        past = sums[-lead - 1 : -1]
+        turned = len(sums) >= lead and any(abs(sums[-1] - x) > (len(past) - i) * slack / 2 for i, x in enumerate(past))
         side = severity = 0
         if up > cut or (turned and up >= down and up > 0):
             side, severity, up = 1, min(up / cut, 2.0) / 2, 0.0
