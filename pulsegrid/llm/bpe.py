@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,14 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-#: Words whose ids a task remembers.
-MEMORY = 400_000
+#: Words whose ids a task remembers; bytes from which on a word's pairs wait in a heap.
+MEMORY, LONG = 400_000, 256
 
 
 def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a word: the leftmost pair of the smallest rank is joined first."""
     if word in ranks:
         return [ranks[word]]
+    if len(word) >= LONG:
+        return _fold_long(word, ranks)
     parts = [word[i : i + 1] for i in range(len(word))]
     pairs = [ranks.get(word[i : i + 2]) for i in range(len(word) - 1)]
     while True:
@@ -43,6 +46,33 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
             pairs[i] = ranks.get(parts[i] + parts[i + 1])
 
 
+def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same fold in n log n steps: pairs wait in a heap by rank and place, and are checked when they come out."""
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap: list[tuple[int, int, bytes]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < len(parts):
+            pair = parts[i] + parts[after[i]]
+            if (rank := ranks.get(pair)) is not None:
+                heapq.heappush(heap, (rank, i, pair))
+
+    for i in range(len(parts)):
+        offer(i)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != pair:
+            continue
+        parts[i], parts[j], after[i] = pair, None, after[j]
+        if after[i] < len(parts):
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [ranks[p] for p in parts if p is not None]
+
+
 class Codec(dict):
     """Words with their ids as bytes (four each, little-endian), folded when first asked for."""
 

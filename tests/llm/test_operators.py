@@ -179,6 +179,17 @@ def test_bpe_matches_the_library(spark, docs):
         assert ids[i] == lib.encode_ordinary(t or "") and back[i] == (t or "").encode()
 
 
+def test_bpe_long_words_fold_alike(monkeypatch):
+    c = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for n in [2, 3, 40, 200, 900]:
+        for letters in (b"a", b"ab", b"etaoin\xc3\xa9"):
+            word = bytes(rnd.choice(letters) for _ in range(n))
+            monkeypatch.setattr(bpe, "LONG", 1 << 30)
+            want = bpe.fold(word, c.ranks)
+            monkeypatch.setattr(bpe, "LONG", 1)
+            assert bpe.fold(word, c.ranks) == want
+
+
 def test_packing(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = packing._tokenizer(path)
