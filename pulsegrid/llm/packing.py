@@ -194,9 +194,10 @@ def placed(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows
     runs = np.array(sorted(plan(histogram, size)), np.int64).reshape(-1, 6)
     shared = spark.sparkContext.broadcast(runs)  # bounded by the lengths in a sequence and the patterns
-    slices = max(1, sum(histogram.values()) // SLICE)
     # Rank within a length without gathering a length: number the rows of each slice, add what earlier slices hold.
-    sliced = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
+    # Only lengths of more than SLICE rows have several, so the slices are few beside the rows.
+    slices = spark.createDataFrame([(k, -(-n // SLICE)) for k, n in histogram.items()], "length long, slices long")
+    sliced = pieces.join(F.broadcast(slices), "length").withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.col("slices")))
     sizes = sliced.groupBy("length", "slice").count()
     before = F.sum("count").over(W.partitionBy("length").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
     sizes = sizes.select("length", "slice", F.coalesce(before, F.lit(0)).alias("before"))
