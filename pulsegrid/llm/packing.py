@@ -10,6 +10,7 @@ are numbered within their length by Spark and look their place up in the plan.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ SIZE = 4096
 ROUNDS, STEP = 300, 64
 #: Rows of one length that are numbered in one task.
 SLICE = 20_000
-#: Words whose ids a task remembers; the memory is emptied when it is full.
+#: Pieces whose ids a task remembers; the memory is emptied when it is full.
 MEMORY = 400_000
 
 
@@ -38,25 +39,55 @@ def _tokenizer(path: str):
     return t
 
 
+#: The tokenizer's own split of lower-case Latin-1 text, spelled out: contractions, letters, one digit, other signs.
+_LETTER, _DIGIT, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
+_OTHER = re.compile("[^\x00-\xff]")
+_PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+")
+
+
 class _Ids(dict):
-    """Ids of a word between white space, as bytes; no token of this vocabulary spans white space."""
+    """Ids of pieces of text as bytes, remembered; no token of this vocabulary spans two pieces."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a piece
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remember pieces, encoded side by side and cut after the tokens that end one."""
+        new = [p for p in set(pieces) if p not in self]
+        if len(self) + len(new) > MEMORY:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+            new = list(set(pieces))
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            ids = self.encoded(" ".join(some))
+            data, ends = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            self.update(zip(some, (data[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True))
+
+    def __missing__(self, word: str) -> bytes:
+        return self.encoded(word).tobytes()
+
+
+@functools.cache
+def _memory(path: str) -> _Ids:
+    """One memory a Python worker."""
+    return _Ids(path)
 
 
 def token_ids(text: str | None, memory: _Ids) -> np.ndarray:
-    # str.split() also splits at 1C to 1F, which are no white space to the tokenizer.
-    words = [text or ""] if any(c in (text or "") for c in "\x1c\x1d\x1e\x1f") else (text or "").split()
-    return np.frombuffer(b"".join(map(memory.__getitem__, words)), "<u4")
+    text = text or ""
+    if _OTHER.search(text):
+        # str.split() also splits at 1C to 1F, which are no white space to the tokenizer.
+        pieces = [text] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+    else:
+        pieces = _PIECE.findall(text.lower())
+        memory.learn(pieces)
+    return np.frombuffer(b"".join(map(memory.__getitem__, pieces)), "<u4")
 
 
 def tokenized(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 1) -> DataFrame:
@@ -65,7 +96,7 @@ def tokenized(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 1) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        memory = _Ids(path)
+        memory = _memory(path)
         for batch in batches:
             out: list[tuple] = []
             for k, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):

@@ -205,6 +205,14 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_ids_match_the_library():
+    memory = packing._Ids(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["'", "s", "T", "re", " ", "é", "É", "1", "²", "\x85", "\xa0", "\x1c", "\n", "<|endoftext|>", "ß", "µ", "İ", "Σ", "word", "日"]
+    for _ in range(2000):
+        text = "".join(rnd.choice(odd) for _ in range(rnd.randint(0, 25)))
+        assert packing.token_ids(text, memory).tolist() == memory.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_plan_places_every_piece(seed):
     r = random.Random(seed)
