@@ -5,6 +5,10 @@ Fingerprints at most ``radius`` bits apart agree on some of the blocks their bit
 shows up in at least one. A shard is searched with a BK-tree: children hang at their integer Hamming
 distance from the parent, and a search follows only edges within the radius. Shard trees are dealt by a
 shuffle, not broadcast, as their number grows with the input. Links make components in Spark.
+
+The pipeline's stage (``one_of_each``) links texts by the Jaccard similarity of their shingles. Blocks that
+reach its radius would be a few bits long, so its shards are dealt by bands of MinHashes; what a shard's
+BK-tree finds within the radius is held against the exact similarity.
 """
 
 from __future__ import annotations
@@ -17,25 +21,40 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import table, written
 
 BITS = 64
 #: Items of a tree's leaf, compared at once; fingerprints of a shard beyond which it is cut by more blocks.
 LEAF, SHARD = 64, 8192
+#: The stage's least Jaccard similarity, and the bits up to which fingerprints are compared exactly. Texts at 0.8 lie
+#: some 10 bits apart (12 with four shingles against five), with a deviation of 3: beyond 28 is one pair in a million.
+LEAST, WIDE = 0.8, 28
+#: Shards of the stage: bands of so many MinHashes each. A pair at 0.8 shares none with a chance of (1 - 0.8^5)^32 = 3e-6.
+BANDS, ROWS = 32, 5
+_SALTS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """SimHash over XXH64 (seed 42) of a text's shingles, as an unsigned number; 0 for a text without words."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``words`` words, of the whole text if it has fewer."""
     found = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
     ends = ends.tolist()[words - 1 :] or [len(joined)]
-    hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=False)], "<u8")
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends, strict=False)], "<u8")
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """SimHash of a text's shingles, as an unsigned number; 0 for a text without words."""
+    return simhash(shingles(text, words))
+
+
+def simhash(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -220,14 +239,123 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` that have their component's smallest doc_id, all columns kept.
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of MinHashes of a set of shingles."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 2048):
+        part = hashes[at : at + 2048, None]
+        np.minimum(least, ((part ^ _SALTS[0]) * _SALTS[1]).min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _marked(words: int, names: list[str]):
+    """Adds to each row a key of its set of shingles (0 for none), the set's fingerprint and its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, fp, keys = [], [], []
+            for text in b["text"].to_pylist():
+                own = np.unique(shingles(text, words))
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), 42) if len(own) else 0)
+                fp.append(simhash(own) if len(own) else 0)
+                keys.append(bands(own) if len(own) else None)
+            added = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added, pa.array(keys, pa.list_(pa.int64()))], names=[*names, "_node", "_fp", "_bands"])
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(t, words)).tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["node"], b["fp"], pa.array(sets, pa.binary())], names=["node", "fp", "set"])
+
+    return run
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``least`` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def jaccard_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
+    """(node, smallest node of its component within the shard), for others than that one."""
+    order = np.argsort(nodes)
+    nodes, fps, sets = nodes[order], fps[order].view(np.uint64), [sets[i] for i in order]
+    items, place = np.unique(fps, return_inverse=True)
+    tree, sizes = BKTree(items, WIDE), np.array([len(x) for x in sets])
+    alive, out = np.ones(len(nodes), bool), []
+    for first in range(len(nodes)):
+        if not alive[first]:
+            continue
+        alive[first], front = False, [first]
+        while front and alive.any():
+            at = front.pop()
+            within = np.zeros(len(items), bool)
+            within[tree.near(place[at : at + 1], np.ones(len(items), bool))] = True
+            likely = alive & within[place] & (np.minimum(sizes, sizes[at]) >= least * np.maximum(sizes, sizes[at]) - 1e-9)
+            for i in np.nonzero(likely)[0].tolist():
+                if similar(sets[at], sets[i], least):
+                    alive[i] = False
+                    front.append(i)
+                    out.append((int(nodes[i]), int(nodes[first])))
+    return out
+
+
+def _jaccard_shards(least: float):
+    def linked(held: list[tuple]) -> list[tuple[int, int]]:
+        nodes, fps = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+        return jaccard_links(nodes, fps, [np.frombuffer(h[2], "<u8") for h in held], least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for k, *row in zip(*(batch[c].to_pylist() for c in ("key", "node", "fp", "set")), strict=True):
+                if k != key:
+                    out += linked(held) if len(held) > 1 else []
+                    key, held = k, []
+                held.append(row)
+            if out:
+                yield _link_batch(out)
+        if len(held) > 1 and (out := linked(held)):
+            yield _link_batch(out)
+
+    return run
+
+
+def similar_links(marked: DataFrame, words: int, least: float) -> DataFrame:
+    """Rows (a, b), b < a, that connect sets of shingles (column _node) as pairs of the least similarity do."""
+    sets = marked.where("_bands IS NOT NULL").groupBy("_node").agg(F.min("_row").alias("_row"), F.first("_bands").alias("bands"))
+    members = written(sets.select(F.col("_node").alias("node"), F.explode("bands").alias("key")), "bands")
+    signed = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
+    shards = members.groupBy("key").agg(F.count("*").alias("n"), *signed).where("n > 1")
+    shards = written(shards.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "shards")  # equal shards once
+    held = written(members.join(shards, "key", "left_semi"), "held")
+    some = sets.join(held.select(F.col("node").alias("_node")).distinct(), "_node", "left_semi").select("_row")
+    texts = marked.join(some, "_row", "left_semi").select(F.col("_node").alias("node"), F.col("_fp").alias("fp"), "text")
+    found = held.join(texts.mapInArrow(_sets(words), "node long, fp long, set binary"), "node")
+    dealt = found.repartition("key").sortWithinPartitions("key")
+    return written(dealt.mapInArrow(_jaccard_shards(least), "a long, b long").distinct(), "links")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` that have the smallest doc_id among near copies, all columns kept.
 
-    Rows that repeat both id and text stay once; rows without an id name no component and go.
+    Near copies are what pairs with a Jaccard similarity of their shingles of ``least`` or more reach; texts
+    without words are copies of each other. Rows that repeat both id and text stay once; rows without an id
+    name no component and go.
     """
-    found = near_duplicates(docs, words, radius)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    schema = docs.select("*").schema.add("_node", "long").add("_fp", "long").add("_bands", ArrayType(LongType()))
+    marked = docs.mapInArrow(_marked(words, docs.columns), schema).withColumn("_row", F.monotonically_increasing_id())
+    marked = written(marked, "marked")
+    roots = components(similar_links(marked, words, least))
+    rows = marked.select("_row", "_node", "doc_id").join(roots, F.col("_node") == roots.node, "left").withColumn("root", F.coalesce("root", "_node"))
+    first = rows.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    return marked.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

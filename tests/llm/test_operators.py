@@ -147,6 +147,47 @@ def test_near_duplicates_edges(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def shingle_set(text):
+    w = words(text)
+    return {" ".join(w[i : i + 5]).lower() for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def one_by_pairs(texts):
+    """Numbers of the texts that come first among those that pairs at 0.8 or more reach."""
+    sets, parent = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i for i in range(len(texts)) if root(i) == i}
+
+
+def near_copies():
+    texts = []
+    for n in [8, 9, 14, 30, 60, 120, 250]:
+        for _ in range(6):
+            w = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+            texts.append(" ".join(w))
+            for cut in (1, n // 25, n // 12, n // 8, n // 5):  # words off the end: similarities from 0.75 to 0.99
+                texts.append(" ".join(w[: n - cut]))
+            for _ in range(3):
+                texts.append(" ".join(x if rnd.random() > 0.02 else "changed" for x in w))
+    return texts
+
+
+def test_one_of_each_links_jaccard(spark):
+    texts = near_copies()
+    near = [len(a & b) / len(a | b) for a, b in itertools.combinations(map(shingle_set, texts), 2) if a & b]
+    assert sum(0.8 <= x < 0.95 for x in near) > 100 and sum(0.7 <= x < 0.8 for x in near) > 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == one_by_pairs(texts)
+
+
 def test_toxicity(spark):
     bad = ["you idiot", "what a stupid loser", "stupid idiot here"]
     rows = [(i, f"{bad[i % 3] if i % 4 == 0 else 'nice words and calm talk'} number {chr(97 + i % 26)} {chr(97 + i // 26)} stupidly plain", int(i % 4 == 0)) for i in range(200)]
