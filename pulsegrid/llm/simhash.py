@@ -343,19 +343,20 @@ def similar_links(marked: DataFrame, words: int, least: float) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` that have the smallest doc_id among near copies, all columns kept.
+    """One row of each group of near copies, all columns kept: the smallest doc_id (nulls last), then the smallest
+    hash of the text.
 
     Near copies are what pairs with a Jaccard similarity of their shingles of ``least`` or more reach; texts
-    without words are copies of each other. Rows that repeat both id and text stay once; rows without an id
-    name no component and go.
+    without words are copies of each other.
     """
     schema = docs.select("*").schema.add("_node", "long").add("_fp", "long").add("_bands", ArrayType(LongType()))
     marked = docs.mapInArrow(_marked(words, docs.columns), schema).withColumn("_row", F.monotonically_increasing_id())
-    marked = written(marked, "marked")
+    marked = written(marked.withColumn("_text", F.xxhash64("text")), "marked")
     roots = components(similar_links(marked, words, least))
-    rows = marked.select("_row", "_node", "doc_id").join(roots, F.col("_node") == roots.node, "left").withColumn("root", F.coalesce("root", "_node"))
-    first = rows.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return marked.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row")
+    nodes = marked.groupBy("_node").agg(F.min(order).alias("first"))  # copies first, so that no group is crowded
+    firsts = nodes.join(roots, F.col("_node") == roots.node, "left").groupBy(F.coalesce("root", "_node")).agg(F.min("first").alias("first"))
+    return marked.join(firsts.select("first._row"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,19 @@ def test_one_of_each_links_jaccard(spark):
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == one_by_pairs(texts)
 
 
+def test_one_of_each_keeps_one_row_a_group(spark):
+    plain = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"]
+    near = plain[0] + " more"
+    rows = [
+        (None, plain[1]), (None, plain[2]), (None, plain[2] + " more"),  # without an id: alone, and a group
+        (1, plain[0]), (1, near), (1, plain[3]),  # one id with near copies, and with another text
+        (2, plain[4]), (3, plain[3]), (3, plain[5]), (2, plain[5] + " more"), (None, plain[4]), (4, None), (None, ""), (5, plain[6]), (5, plain[6]),
+    ]
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 8 and {(None, plain[1]), (1, plain[3]), (2, plain[4]), (2, plain[5] + " more"), (4, None), (5, plain[6])} < set(kept)
+    assert sum(t in (plain[0], near) for _, t in kept) == 1 and sum(t in (plain[2], plain[2] + " more") for _, t in kept) == 1
+
+
 def test_toxicity(spark):
     bad = ["you idiot", "what a stupid loser", "stupid idiot here"]
     rows = [(i, f"{bad[i % 3] if i % 4 == 0 else 'nice words and calm talk'} number {chr(97 + i % 26)} {chr(97 + i // 26)} stupidly plain", int(i % 4 == 0)) for i in range(200)]
