@@ -212,6 +212,26 @@ def test_toxicity(spark):
     assert toxicity.score(test, toxicity.fit(docs.limit(0), docs.limit(0)), ["doc_id"]).count() == 4
 
 
+def test_toxicity_symbols_at_ends_and_spelled_runs(spark):
+    bad = ["you idiot", "what a stupid loser", "worthless idiot here", "stupid dumb ass"]
+    rows = [(i, f"{bad[i // 4 % 4] if i % 4 == 0 else 'nice words and calm talk of class and as is'} number {chr(97 + i % 26)} {chr(97 + i // 26)} stupidly plain", int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    want = {
+        "worthle$$ talk": ["worthless"], "worthle55": ["worthless"], "so idio7": ["idiot"], "idi07": ["idiot"], "dumb a55": ["ass"],
+        "-idi0t-": ["idiot"], "_idi0t_": ["idiot"], "*idi0t*": ["idiot"], "(idi0t)": ["idiot"], "idio+": ["idiot"], "1d10t!": ["idiot"],
+        "i d  i o t": ["idiot"], "i, d / i, o, t": ["idiot"], "s t u p i d i d i o t": ["stupid", "idiot"], "calm s t u p i d  i d i o t": ["stupid", "idiot"],
+        "idiot!": [], "(idiot": [], "calm talk!": [], "c l a s s": [], "1 2 3 4": [],
+    }
+    restorer = toxicity.Restorer(model.grams, model.common)
+    found = {t: [w for w in restorer.restored(t, model.weights) if w in model.weights] for t in want}
+    assert found == want
+    assert any("stupig" in r for r in restorer._readings("stupi6", False))  # 6 stands for g alone
+    test = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(test, model, ["doc_id"]).collect()}
+    assert [got[i] for i, t in enumerate(want)] == [int(bool(found[t]) or "idiot" in t or "dumb" in t) for t in want]
+
+
 def test_licenses(spark, docs):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert got[10].base_labels == "mit" and got[10].first_word == 1 and got[10].n_base == 1 and got[10].score == 1.0
