@@ -14,18 +14,22 @@ from .plans import fold, steps
 from .sources.events import events, flatten_otel, signals
 
 
-def _otel(spark, d):
-    """Events as nested batches (a day each) and flattened again."""
+def otel_batches(e):
+    """Events as nested JSON batches (column batch): an hour each, of at most a thousand event ids."""
     value = lambda kind, col: F.struct(col.alias(kind))
-    e = events(spark, d)
     attributes = F.array(
         F.struct(F.lit("entity.id").alias("key"), value("stringValue", F.col("entity").cast("string")).alias("value")),
         F.struct(F.lit("value").alias("key"), value("stringValue", F.col("value").cast("string")).alias("value")),
     )
     record = F.struct((F.col("t") * 10**9).cast("string").alias("timeUnixNano"), F.col("trace_id").cast("string").alias("traceId"), attributes.alias("attributes"))
-    logs = e.groupBy(F.floor(F.col("t") / 3600).alias("h")).agg(F.collect_list(record).alias("logRecords"))
+    logs = e.groupBy(F.floor(F.col("t") / 3600).alias("h"), F.floor(F.col("event_id") / 1000).alias("part")).agg(F.collect_list(record).alias("logRecords"))
     batch = F.to_json(F.struct(F.array(F.struct(F.array(F.struct("logRecords")).alias("scopeLogs"))).alias("resourceLogs")))
-    return flatten_otel(logs.select(batch.alias("batch")))
+    return logs.select(batch.alias("batch"))
+
+
+def _otel(spark, d):
+    """Events as nested batches and flattened again."""
+    return flatten_otel(otel_batches(events(spark, d)))
 
 
 def _labelled(spark, d):

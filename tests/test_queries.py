@@ -7,7 +7,8 @@ import pytest
 
 from pulsegrid.functions.scoring import severity_level
 from pulsegrid.plans import fold
-from pulsegrid.queries import QUERIES, SQL
+from pulsegrid.queries import QUERIES, SQL, otel_batches
+from pulsegrid.sources.events import flatten_otel
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,3 +45,12 @@ def test_ewma_follows_the_recurrence(spark):
     for i in range(50):
         mean = float(i % 7) if mean is None else mean + alpha * (i % 7 - mean)
         assert math.isclose(got[i], mean)
+
+
+def test_otel_batches_stay_small_in_a_crowded_hour(spark):
+    e = spark.range(5500).selectExpr("id AS event_id", "id % 7 AS entity", "id AS trace_id", "id / 2.0D AS value", "id % 3600 AS t")
+    batches = otel_batches(e)
+    sizes = [r.batch.count("timeUnixNano") for r in batches.collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == 5500
+    got = {(r.entity, r.value, r.t_ns, r.trace_id) for r in flatten_otel(batches).collect()}
+    assert got == {(str(i % 7), i / 2, i % 3600 * 10**9, str(i)) for i in range(5500)}
