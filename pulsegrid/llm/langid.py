@@ -14,20 +14,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import remainder, table, written
 
 DIMS = 8192
-#: Texts sampled per language to place its centroids (chosen by a hash of the id), and centroids per language.
+#: Texts sampled per language to place its centroids (a hash of the id keeps this share of the language's count, so the
+#: number varies by a few square roots), and centroids per language.
 SAMPLE, CENTROIDS, ROUNDS = 1500, 4, 8
 #: A text is rejected below this part of the cosine that all but a thousandth of its language's sample reach.
 SLACK, QUANTILE = 0.5, 0.001
 #: Texts with fewer letters have fewer n-grams in common with anything: their limit falls in proportion.
 FULL_LETTERS = 200
-#: Languages that a model may hold: the size of what is broadcast is at most this times 4 centroids of 32 kB.
-MAX_LANGUAGES = 512
+#: Languages whose centroids are broadcast at once (some 130 kB each); with more, texts are scored in several passes.
+PER_PASS = 256
 #: Characters handled at once in a task; longer texts are cut into such pieces and their counts added.
 CHUNK = 1 << 20
 
@@ -94,14 +94,28 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Model:
-    """Languages with their centroids and radii; small (see MAX_LANGUAGES) whatever the input's size."""
+    """A table of languages with their centroids and limits, in blocks of some PER_PASS languages, and the weights of dimensions."""
 
-    def __init__(self, idf: np.ndarray, langs: list[str], centres: np.ndarray, least: list[float]):
-        self.idf, self.langs, self.centres, self.least = idf, langs, centres, least
+    def __init__(self, idf: np.ndarray, table: DataFrame, blocks: int):
+        self.idf, self.table, self.blocks = idf, table, blocks
+
+    def block(self, i: int) -> tuple[np.ndarray, list[str], np.ndarray, list[float]]:
+        """Weights, and for each centroid of a block its language, place and limit; languages in order."""
+        langs, centres, least = [], [], []
+        for r in sorted(self.table.where(F.col("block") == i).drop("block").collect()):
+            m = np.frombuffer(r.centres, np.float32).reshape(-1, DIMS)
+            centres.append(m)
+            langs += [r.lang] * len(m)
+            least += [r.least] * len(m)
+        return self.idf, langs, np.vstack(centres) if centres else np.zeros((0, DIMS), np.float32), least
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learn from rows with a text and a language; document frequencies come from all of them."""
+    """Learn from rows with a text and a language; document frequencies come from all of them.
+
+    Texts without a letter teach nothing; rows may repeat ids and texts, and each counts. An empty table gives a model
+    without languages. Columns other than doc_id, text and lang are ignored.
+    """
     spark = docs.sparkSession
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
     df = np.zeros(DIMS + 1)
@@ -117,72 +131,77 @@ def fit(docs: DataFrame) -> Model:
                 counts, letters = _count_matrix(b["text"].to_pylist())
                 x, ok = _vectors(counts, shared.value), letters > 0
                 yield pa.RecordBatch.from_pydict(
-                    {"lang": b["lang"].filter(pa.array(ok)), "id": b["doc_id"].filter(pa.array(ok)), "x": pa.array([v.tobytes() for v in x[ok]], pa.binary())}
+                    {"lang": b["lang"].filter(pa.array(ok)), "x": pa.array([v.tobytes() for v in x[ok]], pa.binary())}
                 )
 
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = known.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE)
-    # At most SAMPLE ids a language: texts stay where they are.
-    sample = known.join(F.broadcast(some.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
+    counts = written(known.groupBy("lang").count(), "languages")
+    n = counts.count()
+    if n <= PER_PASS:
+        counts = F.broadcast(counts)
+    share = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40)) < F.least(F.lit(1.0), SAMPLE / F.col("count")) * float(1 << 40)
+    sample = known.join(counts, "lang").where(share).select("lang", "text")
 
     def place(key, rows):
-        rows = rows.sort_by("id").slice(0, 2 * SAMPLE)  # repeated ids can add rows
-        x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, DIMS)
+        x = np.frombuffer(b"".join(sorted(rows["x"].to_pylist())), np.float32).reshape(-1, DIMS)  # in an order of their own
         centres = _kmeans(x, CENTROIDS)
         least = float(np.quantile((x @ centres.T).max(axis=1), QUANTILE)) * SLACK
         return pa.table({"lang": [key[0].as_py()], "centres": [centres.astype(np.float32).tobytes()], "least": [least]})
 
-    placed = sample.mapInArrow(vectors, "lang string, id long, x binary").groupBy("lang").applyInArrow(
-        place, "lang string, centres binary, least double"
-    )
-    rows = sorted(placed.limit(MAX_LANGUAGES + 1).collect())
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs, centres, least = [], [], []
-    for r in rows:
-        m = np.frombuffer(r.centres, np.float32).reshape(-1, DIMS)
-        centres.append(m)
-        langs += [r.lang] * len(m)
-        least += [r.least] * len(m)
-    return Model(idf, langs, np.vstack(centres) if centres else np.zeros((0, DIMS), np.float32), least)
+    placed = sample.mapInArrow(vectors, "lang string, x binary").groupBy("lang").applyInArrow(place, "lang string, centres binary, least double")
+    blocks = max(1, -(-n // PER_PASS))
+    return Model(idf, written(placed.withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(blocks))), "centroids"), blocks)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns with lang_pred, score (the cosine) and rejected.
 
-    Null texts and texts without a letter are ``und`` with score 0 and rejected, as is everything when
-    no language could be learned. Ties go to the language that sorts first.
+    Null texts and texts without a letter are ``und`` with score 0 and rejected, as is everything when no language could
+    be learned. Ties go to the language that sorts first. Texts of any length are read whole, in chunks; repeated rows
+    each get a row; columns of other names are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.select(*keep).schema.add("_text", "string").add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    out = docs.select(*keep, F.col("text").alias("_text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    for i in range(model.blocks):
+        out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(model.block(i)), [f.name for f in schema]), schema)
+    return out.drop("_text")
+
+
+def _pass(shared, names: list[str]):
+    """Hold texts against one block of languages; what an earlier block found stays unless this one is nearer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        idf, langs, centres, least = shared.value
         for batch in batches:
             for b in _pieces(batch):
-                counts, letters = _count_matrix(b["_text"].to_pylist())
-                pred, score, out = [], [], []
-                sims = _vectors(counts, m.idf) @ m.centres.T if m.langs else None
-                for i in range(b.num_rows):
-                    if sims is None or not letters[i]:
-                        pred.append("und"), score.append(0.0), out.append(True)
-                        continue
+                if not langs:
+                    yield b
+                    continue
+                text, pred, score, out = (c.to_pylist() for c in b.columns[-4:])
+                counts, letters = _count_matrix(text)
+                sims = _vectors(counts, idf) @ centres.T
+                for i in np.flatnonzero(letters).tolist():
                     j = int(sims[i].argmax())
                     s = min(1.0, max(0.0, float(sims[i, j])))
-                    pred.append(m.langs[j]), score.append(s), out.append(s < m.least[j] * min(1.0, letters[i] / FULL_LETTERS))
-                cols = [b[i] for i in range(b.num_columns - 1)] + [pa.array(pred), pa.array(score, pa.float64()), pa.array(out)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected"])
+                    if pred[i] == "und" or (-s, langs[j]) < (-score[i], pred[i]):
+                        pred[i], score[i], out[i] = langs[j], s, s < least[j] * min(1.0, letters[i] / FULL_LETTERS)
+                cols = [*b.columns[:-3], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return run
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that lie near a language learned from ``docs``, all columns kept."""
+    """The rows of ``docs`` that lie near a language learned from ``docs``, all columns kept.
+
+    Null texts and those without a letter go, as do texts far from every language; rows with a null id or language stay
+    if their text is near one.
+    """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
     return predict(row, fit(docs), ["_row"]).where("NOT rejected").select("_row.*")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every row of ``documents``, learned from the rows that are not held out (see ``predict``)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(remainder("doc_id", 3) != 1))
     marked = docs.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")

@@ -8,9 +8,9 @@ library's bounded-error matching verifies each and reports its span.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -43,16 +43,53 @@ _TO_WORDS = bytes(
 )
 
 
-@functools.cache
-def _notices() -> list[tuple[str, int, int, list[tuple[int, bytes]], regex.Pattern]]:
-    """For each notice: label, length, edits, pieces with their places, and the verifying pattern."""
-    out = []
-    for phrase, label in NOTICES.items():
-        p, k = phrase.encode(), max(2, len(phrase) // CHARS_PER_EDIT)
-        cuts = [len(p) * i // (k + 1) for i in range(k + 2)]
-        pieces = [(a, p[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        out.append((label, len(p), k, pieces, regex.compile(rb"(?b)(?<= )(?:" + p + rb"){e<=" + str(k).encode() + rb"}(?= )")))
-    return out
+#: Windows of text whose verification is remembered in a task.
+MEMORY = 100_000
+
+
+class Notices:
+    """Notices compiled for the search: for each its label, length, edits, pieces with their places, and pattern."""
+
+    def __init__(self, notices: dict[str, str]):
+        self.compiled, self.memo = [], {}
+        for phrase, label in notices.items():
+            p = phrase.encode()
+            k = max(2, len(p) // CHARS_PER_EDIT)
+            cuts = [len(p) * i // (k + 1) for i in range(k + 2)]
+            pieces = [(a, p[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            pattern = regex.compile(rb"(?b)(?<= )(?:" + regex.escape(p, literal_spaces=True) + rb"){e<=" + str(k).encode() + rb"}(?= )")
+            self.compiled.append((label, len(p), k, pieces, pattern))
+
+    def _verified(self, i: int, window: bytes) -> tuple[int, int, int] | None:
+        """Start, end and edits of the best match inside a candidate's window; equal windows are verified once."""
+        if (i, window) not in self.memo:
+            if len(self.memo) >= MEMORY:
+                self.memo.clear()
+            m = self.compiled[i][-1].search(window)
+            self.memo[i, window] = m and (m.start(), m.end(), sum(m.fuzzy_counts))
+        return self.memo[i, window]
+
+    def spans(self, text: bytes) -> list[tuple[str, int, int, int]]:
+        """(label, first byte, end byte, edits) of notices in a text of words with a space at either end.
+
+        Each candidate is verified in a window of its own, so neighbours don't hide each other; of spans of one
+        notice that overlap, the one with the fewest edits stays (the first, if equal).
+        """
+        out = []
+        for i, (label, n, k, pieces, _) in enumerate(self.compiled):
+            starts = {max(0, at - a - k - 1) for a, piece in pieces for at in _finds(text, piece)}
+            last = None
+            for a in sorted(starts):
+                if (m := self._verified(i, text[a : a + n + 2 * k + 2])) is None:
+                    continue
+                span = (label, a + m[0], a + m[1], m[2])
+                if last is None or span[1] >= last[2]:
+                    out += [last] if last else []
+                    last = span
+                elif span[3] < last[3]:
+                    last = span
+            out += [last] if last else []
+        return sorted(set(out))
 
 
 def _finds(text: bytes, piece: bytes) -> Iterator[int]:
@@ -62,32 +99,17 @@ def _finds(text: bytes, piece: bytes) -> Iterator[int]:
         at = text.find(piece, at + 1)
 
 
-def fuzzy_spans(text: bytes) -> list[tuple[str, int, int, int]]:
-    """(label, first byte, end byte, edits) of notices in a text of words with a space at either end."""
-    out = []
-    for label, n, k, pieces, pattern in _notices():
-        windows = sorted((max(0, at - a - k - 1), at - a + n + k + 1) for a, piece in pieces for at in _finds(text, piece))
-        done = 0
-        for i, (a, b) in enumerate(windows):
-            if i + 1 < len(windows) and windows[i + 1][0] <= b and b - max(done, a) < 4 * n:
-                windows[i + 1] = (a, max(b, windows[i + 1][1]))  # overlapping candidates are verified once
-                continue
-            for m in pattern.finditer(text, max(0, a), min(len(text), b)):
-                out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-            done = b
-    return sorted(set(out))
-
-
-def scan_text(text: str | None) -> tuple:
+def scan_text(text: str | None, notices: Notices) -> tuple:
     words = (text or "").encode("utf-8", "replace").translate(_TO_WORDS).split()
     joined = b" " + b" ".join(words) + b" "
-    word_at = lambda byte: joined.count(b" ", 0, byte) - 1
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    word_at = lambda byte: int(np.searchsorted(blanks, byte)) - 1
     starts, base = [], set()
     for phrase, label in BASE.items():
         found = [word_at(at + 1) for at in _finds(joined, b" " + phrase.encode() + b" ")]
         starts += found
         base |= {label} if found else set()
-    spans = fuzzy_spans(joined)
+    spans = notices.spans(joined)
     best = 1.0 if starts else max((1 - e / (b - a) for _, a, b, e in spans), default=0.0)
     return (
         len(words), len(starts), min(starts, default=None), max(starts, default=None),
@@ -103,16 +125,19 @@ _FIELDS = [
 ]
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
     """Licenses of every row's whole text: counts, labels and spans.
 
-    Null and empty texts have no words and no labels (score 0); repeated rows each get their result;
-    other columns of ``docs`` are ignored.
+    ``notices`` are phrases of small letters, digits and single spaces with their labels (NOTICES, if none are given).
+    Null and empty texts have no words and no labels (score 0); repeated rows each get their result; an empty table gives
+    none; other columns of ``docs`` are ignored. Time grows with a text's length, however many notices it holds.
     """
+    phrases = NOTICES if notices is None else notices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Notices(phrases)
         for batch in batches:
-            rows = list(zip(*map(scan_text, batch["text"].to_pylist()), strict=True)) or [[]] * len(_FIELDS)
+            rows = list(zip(*(scan_text(t, known) for t in batch["text"].to_pylist()), strict=True)) or [[]] * len(_FIELDS)
             cols = [pa.array(list(r), kind) for r, (_, kind) in zip(rows, _FIELDS, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *cols], names=["doc_id", *(f[0] for f in _FIELDS)])
 
@@ -124,4 +149,5 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of every row of ``documents`` (see ``scan``)."""
     return scan(table(spark, sf_dir, "documents"))
