@@ -15,12 +15,15 @@ WS = r"[\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the checkpoint folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is set (a local session,
-    as in tests) is a temporary one made.
+    The folder is the session's ``spark.checkpoint.dir``. Where none is set, a local session (as in tests) gets a
+    temporary one; on a cluster, whose executors could not read it, that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return f"{sc.getCheckpointDir()}/{tag}-{uuid.uuid4().hex}"
 
 

@@ -28,6 +28,9 @@ from .common import table, written
 BITS = 64
 #: Items of a tree's leaf, compared at once; fingerprints of a shard beyond which it is cut by more blocks.
 LEAF, SHARD = 64, 8192
+#: Agreeing blocks up to which shards are cut. Of 16 blocks 12 fix 48 bits, so a shard of distinct fingerprints then
+#: holds 65,536 at most (512 kB), whatever the input.
+MOST_AGREEING = 12
 #: The stage's least Jaccard similarity, and the bits up to which fingerprints are compared exactly. Texts at 0.8 lie
 #: some 10 bits apart (12 with four shingles against five), with a deviation of 3: beyond 28 is one pair in a million.
 LEAST, WIDE = 0.8, 28
@@ -190,9 +193,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     keyed, out = _keyed(fps, block_masks(radius, agreeing)), None
     while True:
         keyed = written(keyed, "shards")
-        last = agreeing >= 6
         heavy = keyed.groupBy("key").count().where(F.col("count") > SHARD)
-        heavy = None if last else written(heavy, "heavy")
+        heavy = None if agreeing >= MOST_AGREEING else written(heavy, "heavy")
         if heavy is not None and heavy.isEmpty():
             heavy = None
         light = keyed if heavy is None else keyed.join(heavy, "key", "left_anti")
@@ -200,7 +202,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         out = found if out is None else out.unionByName(found)
         if heavy is None:
             return written(out.distinct(), "links")
-        agreeing += 1  # crowded shards are cut once more, by more blocks within them
+        agreeing = min(agreeing + 2, MOST_AGREEING)  # crowded shards are cut once more, by more blocks within them
         keyed = _keyed(keyed.join(heavy, "key", "left_semi"), block_masks(radius, agreeing), "key").distinct()
 
 
@@ -229,14 +231,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     """doc_id, fp and component_id (smallest doc_id that links reach) of every row.
 
     Null and empty texts have fingerprint zero and link like any other; rows may repeat ids and texts; a
-    null doc_id gets a row but names no component. Other columns are ignored.
+    null doc_id gets a row but names no component (null for a component of such rows alone). Texts of any length are read
+    whole. An empty table gives no rows. Other columns are ignored.
     """
     fps = written(fingerprints(docs, words), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # Written, so that both sides of the join are plain shuffles and a fingerprint of very many rows can be split.
+    known = written(rooted.join(named, "root").select("fp", "component_id"), "named")
+    return fps.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -347,7 +352,8 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = LEAST) -> DataFr
     hash of the text.
 
     Near copies are what pairs with a Jaccard similarity of their shingles of ``least`` or more reach; texts
-    without words are copies of each other.
+    without words are copies of each other. Rows without an id are rows like others. An empty table gives none; columns of
+    other names stay as they are.
     """
     schema = docs.select("*").schema.add("_node", "long").add("_fp", "long").add("_bands", ArrayType(LongType()))
     marked = docs.mapInArrow(_marked(words, docs.columns), schema).withColumn("_row", F.monotonically_increasing_id())
@@ -360,5 +366,6 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = LEAST) -> DataFr
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents`` (see ``near_duplicates``)."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -20,6 +20,8 @@ from .common import scratch, table, written
 MAGIC = b"WARC/1."
 #: Splits whose entry points are broadcast (some 100 bytes each); with more, the rows are shuffled instead.
 SPLITS = 500_000
+#: Digests of repeated payloads (some 100 bytes each) that are broadcast; with more, pages are shuffled by digest.
+DIGESTS = 200_000
 _HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
@@ -30,17 +32,22 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "gzip") -> None:
-    """One record per row of page_id, url and html.
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "none") -> None:
+    """One record per row of page_id, url and html, in plain archives, which are read in several splits each, or gzip ones.
 
     Of payloads of at least ``least_bytes`` that are equal, the smallest page_id's is a response and the
     others are revisits without a payload. A null html is an empty payload, a null url an empty target;
-    rows that share that page_id are all responses; a null page_id is smallest of none but null ones.
+    rows that share that page_id are all responses; a null page_id is smallest of none but null ones. An empty table
+    gives archives without records; columns of other names are ignored.
     """
     t = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     t = t.withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("n", F.octet_length("html"))
-    first = t.groupBy("digest").agg(F.min("page_id").alias("first"))
-    t = t.join(first, "digest", "left")
+    # Only payloads that occur more than once need a lookup. Written, so that where they are too many to broadcast, both
+    # sides of the join are plain shuffles and a digest of very many pages can be split.
+    first = t.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    first = written(first, "firsts")
+    t = t.join(F.broadcast(first) if first.count() <= DIGESTS else first, "digest", "left")
+    t = t.withColumn("first", F.coalesce("first", "page_id"))
     revisit = F.coalesce((F.col("n") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     block = F.concat(F.lit(_HEAD), F.col("n").cast("string"), F.lit("\r\n\r\n"), F.when(revisit, "").otherwise(F.col("html")))
@@ -194,7 +201,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Records follow each other from the file's start; what no chain reaches (junk, magic inside payloads, a
     file that doesn't start with a record) gives none. Gzip files are single splits; plain ones are split.
-    An HTTP header is taken off the payload. A record cut short by the file's end has what is there.
+    An HTTP header is taken off the payload. A record cut short by the file's end has what is there. Records of one
+    file may be equal; no files or empty ones give no rows. A record is held whole by the task that emits it.
     """
     entries, several = _entries(spark, path)
     pieces = _pieces(spark, path)
@@ -205,17 +213,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         pieces = pieces.join(entries, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "seq")
     rows = pieces.select("file", "block", "base", "entry", "data").mapInArrow(_records, _SCHEMA)
     if several:
-        rows = written(rows, "records")
-        cut = rows.where("missing != 0")
-        owner = F.max(F.when(F.col("missing") > 0, F.col("offset"))).over(W.partitionBy("file").orderBy("offset"))
-        end = F.max(F.when(F.col("missing") > 0, F.col("offset") + len(MAGIC) + F.col("missing"))).over(W.partitionBy("file").orderBy("offset"))
-        cut = cut.withColumn("owner", owner).withColumn("end", end).where("owner IS NOT NULL AND offset < end").drop("end")
-        whole = cut.groupBy("file", "owner").applyInArrow(lambda key, t: _rejoined(key, t.drop_columns(["owner"])), _SCHEMA)
+        # Records that reach into a later split: few, as each split ends in one at most. Their pieces are dealt by the record
+        # they belong to, which is found without the payloads.
+        cut = written(rows.where("missing != 0"), "cut")
+        before = W.partitionBy("file").orderBy("offset")
+        owner = F.max(F.when(F.col("missing") > 0, F.col("offset"))).over(before)
+        end = F.max(F.when(F.col("missing") > 0, F.col("offset") + len(MAGIC) + F.col("missing"))).over(before)
+        own = cut.select("file", "offset", owner.alias("owner"), end.alias("end")).where("owner IS NOT NULL AND offset < end").drop("end")
+        whole = cut.join(own, ["file", "offset"]).groupBy("file", "owner").applyInArrow(lambda key, t: _rejoined(key, t.drop_columns(["owner"])), _SCHEMA)
         rows = rows.where("missing = 0").unionByName(whole)
     return rows.where("missing = 0").drop("missing")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all ``pages`` hold, a row a page (see ``write_warc`` and ``read_warc``)."""
     path = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     r = read_warc(spark, path)

@@ -43,7 +43,7 @@ def words(text):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "labels"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.execute(SQL[name])
     cols = [d[0] for d in want.description]
