@@ -220,13 +220,14 @@ def enumerate_patterns(counts: np.ndarray, size: int, turn: int = 0) -> list[lis
     """
     used, most, out = np.zeros(size + 1, np.int64), np.maximum(1, counts // SPREAD) * (counts > 0), []
     random, barren = np.random.default_rng(turn), 0
-    long_first = turn % 2 == 0 and MANY * int((counts * np.arange(size + 1)).sum()) > size * int(counts.sum())
+    many = MANY * int((counts * np.arange(size + 1)).sum()) < size * int(counts.sum())
+    long_first, power = turn % 2 == 0 and not many, 1.0 if many else 1.5
     for _ in range(TABLES):
         have = np.flatnonzero(used < most)
         found, refused = len(out), 0
         first = have[::-1] if long_first else have[np.argsort(-have * counts[have], kind="stable")]
         some = np.sort(random.choice(have, min(len(have), FILLERS), replace=False))
-        for lengths in _fillings(first, some, some**1.5 * np.log1p(counts[some]), size):
+        for lengths in _fillings(first, some, some**power * np.log1p(counts[some]), size):
             pattern, times = np.unique(lengths, return_counts=True)
             if (used[pattern] + times <= most[pattern]).all():
                 used[pattern] += times
