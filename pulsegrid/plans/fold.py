@@ -1,38 +1,51 @@
-"""The keyed fold: operators whose next state needs the last, once over each entity's ordered events."""
+"""The keyed fold: operators whose next state needs the last, once over each key's ordered events."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
-def keyed_fold(events: DataFrame, start: Callable[[], object], step: Callable, fields: str) -> DataFrame:
-    """event_id and what ``step(state, t, value)`` returns for each event; partitions are sorted, states dropped after use."""
-    names = [f.split()[0] for f in fields.split(", ")]
+def keyed_fold(
+    events: DataFrame, start: Callable[[], object], step: Callable, fields: str, key: str = "entity", columns: tuple[str, ...] = ("t", "value")
+) -> DataFrame:
+    """event_id and what ``step(state, *columns)`` returns for each event, in the order of t and event_id within a key.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = object(), None
+    Partitions are sorted and streamed, so a task holds one state and one batch. An event with a null in the last of the
+    columns gets nulls and leaves the state alone; events with a null key share one.
+    """
+    schema = _parse_datatype_string(f"event_id long, {fields}")
+    arrow = to_arrow_schema(schema)
+    none = (None,) * (len(schema) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
         for b in batches:
-            out = []
-            for entity, t, value in zip(b["entity"], b["t"], b["value"], strict=True):
-                if entity != key:
-                    key, state = entity, start()
-                out.append(step(state, t, value))
-            yield pd.DataFrame(out, columns=names).assign(event_id=b["event_id"].to_numpy())[["event_id", *names]]
+            out, rest = [], [b[c].to_pylist() for c in columns]
+            for k, *row in zip(b["_key"].to_pylist(), *rest, strict=True):
+                if k != last:
+                    last, state = k, start()
+                out.append(none if row[-1] is None else step(state, *row))
+            cols = list(zip(*out, strict=True)) if out else [()] * len(none)
+            arrays = [pa.array(list(c), f.type) for c, f in zip(cols, list(arrow)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b["event_id"], *arrays], schema=arrow)
 
-    rows = events.where("value IS NOT NULL").select("entity", "t", "event_id", "value")
-    return rows.repartition("entity").sortWithinPartitions("entity", "t", "event_id").mapInPandas(run, f"event_id long, {fields}")
+    more = [c for c in columns if c not in ("t", "event_id")]
+    rows = events.selectExpr(f"{key} AS _key", "t", "event_id", *more)
+    return rows.repartition("_key").sortWithinPartitions("_key", "t", "event_id").mapInArrow(run, schema)
 
 
-def ewma(events: DataFrame, half_life: float = 50.0, k: float = 3.0) -> DataFrame:
-    """Exponentially weighted mean and deviation, and the threshold mean + k deviations before the event."""
+def ewma(events: DataFrame, half_life: float = 50.0, k: float = 3.0, low: float = 0.001, high: float = math.inf) -> DataFrame:
+    """Exponentially weighted mean and deviation, and the threshold mean + k deviations before the event, in its bounds."""
     alpha = 1 - math.exp(-math.log(2) / half_life)
 
     def step(s: dict, _t: int, value: float) -> tuple:
-        limit = s["mean"] + k * max(math.sqrt(s["var"]), 0.001) if s else None
+        limit = min(max(s["mean"] + k * max(math.sqrt(s["var"]), 0.001), low), high) if s else None
         if not s:
             s |= {"mean": value, "var": 0.0}
         else:
@@ -44,16 +57,16 @@ def ewma(events: DataFrame, half_life: float = 50.0, k: float = 3.0) -> DataFram
     return keyed_fold(events, dict, step, "mean double, std double, threshold double")
 
 
-def page_hinkley(events: DataFrame, slack: float = 0.5, limit: float = 500.0) -> DataFrame:
-    """Cumulative deviation above a slow mean, over its minimum; an alarm at the limit resets it."""
+def page_hinkley(events: DataFrame, slack: float = 0.5, limit: float = 500.0, alpha: float = 0.01) -> DataFrame:
+    """Cumulative deviation above a slow mean, over its minimum; an alarm at the limit starts it again from the value."""
 
     def step(s: dict, _t: int, value: float) -> tuple:
-        s["mean"] = value if "mean" not in s else s["mean"] + 0.01 * (value - s["mean"])
-        s["sum"] = s.get("sum", 0.0) + value - s["mean"] - slack
+        s["mean"] = alpha * value + (1 - alpha) * s["mean"] if "mean" in s else value
+        s["sum"] = s.get("sum", 0.0) + (value - s["mean"] - slack)
         s["min"] = min(s.get("min", 0.0), s["sum"])
         rise = s["sum"] - s["min"]
         if alarm := rise > limit:
-            s["sum"] = s["min"] = 0.0
-        return rise, alarm
+            s |= {"sum": 0.0, "min": 0.0, "mean": value}
+        return rise, rise / limit, alarm
 
-    return keyed_fold(events, dict, step, "rise double, alarm boolean")
+    return keyed_fold(events, dict, step, "rise double, strength double, alarm boolean")

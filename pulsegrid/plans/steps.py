@@ -1,118 +1,107 @@
-"""Steps of the keyed fold: each factory gives (step, fields); a state is a dict that JSON can hold, so streams keep it too."""
+"""Steps of the keyed fold: each factory gives (step, fields); a state is a dict of the objects in ``detectors``."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-import numpy as np
+from . import detectors as d
 
 Step = tuple[Callable[[dict, int, float], tuple], str]
 
 
-def holt_winters(period: int = 24, alpha: float = 0.3, beta: float = 0.1, gamma: float = 0.1) -> Step:
-    """Additive level, trend and season; the first period + 1 values only set level and trend and predict themselves."""
-
-    def step(s: dict, _t: int, value: float) -> tuple:
-        n = s["n"] = s.get("n", -1) + 1
-        season, i = s.setdefault("season", [0.0] * period), n % period
-        if n <= period:
-            s["trend"] = (s["trend"] + value - s["level"]) / 2 if n else 0.0
-            s["level"] = value
-            return value, 0.0
-        base, seasonal = s["level"] + s["trend"], season[i]
-        level = base + alpha * (value - seasonal - base)
-        s["trend"] += beta * (level - s["level"] - s["trend"])
-        s["level"] = level
-        season[i] += gamma * (value - level - seasonal)
-        return base + seasonal, value - base - seasonal
+def _of(make: Callable[[], object], update: Callable[[object, int, float], tuple], fields: str) -> Step:
+    def step(s: dict, t: int, value: float) -> tuple:
+        if "of" not in s:
+            s["of"] = make()
+        return update(s["of"], t, value)
 
-    return step, "expected double, deviation double"
+    return step, fields
 
 
-#: Fixed values of cusum: sums kept, values before the limit adapts, head start and its length, events between resets.
-KEPT, SETTLED, HEAD, HEAD_EVENTS, RESET = 20, 40, 0.5, 10, 1000
+def holt_winters(period: int = 24, alpha: float = 0.3, beta: float = 0.1, gamma: float = 0.1) -> Step:
+    """Forecast of level, trend and season, and the deviation from it."""
+    return _of(lambda: d.HoltWinters(alpha, beta, gamma, period), lambda o, _t, x: o.update(x), "expected double, deviation double")
 
 
 def cusum(target: float = 0.0, slack: float = 0.5, limit: float = 4.0, lead: int = 10) -> Step:
-    """Two-sided cumulative sums with a head start, a V-mask over the last sums and a limit that adapts to them."""
-
-    def step(s: dict, _t: int, value: float) -> tuple:
-        n = s.get("n", 0)
-        floor = limit * HEAD if n < HEAD_EVENTS else 0.0
-        up = max(floor, s.get("up", 0.0) + value - target - slack)
-        down = max(floor, s.get("down", 0.0) - value + target - slack)
-        sums = s["sums"] = [*s.get("sums", []), max(up, down)][-KEPT:]
-        if len(sums) >= HEAD_EVENTS:
-            mean = sum(sums) / len(sums)
-            s["adapted"] = max(limit, mean + 3 * math.sqrt(sum((x - mean) ** 2 for x in sums) / len(sums)))
-        cut = s["adapted"] if n > SETTLED else limit
-        past = sums[-lead - 1 : -1]
-        turned = len(sums) >= lead and any(abs(sums[-1] - x) > (len(past) - i) * slack / 2 for i, x in enumerate(past))
-        side = severity = 0
-        if up > cut or (turned and up >= down and up > 0):
-            side, severity, up = 1, min(up / cut, 2.0) / 2, 0.0
-        elif down > cut or (turned and down > up):
-            side, severity, down = -1, min(down / cut, 2.0) / 2, 0.0
-        s |= {"n": n + 1, "up": up, "down": down, "age": s.get("age", 0) + 1}
-        if s["age"] > RESET:
-            s |= {"n": 0, "up": 0.0, "down": 0.0, "age": 0}
-        return side, float(severity)
-
-    return step, "side int, severity double"
+    """Side and severity of an alarm of the two-sided cumulative sums."""
+    return _of(lambda: d.Cusum(target, slack, limit, lead), lambda o, _t, x: o.update(x), "side int, severity double")
 
 
 def adwin(size: int = 1000, least: int = 30, delta: float = 0.002) -> Step:
-    """Two adjacent windows of half the size; a difference of means above its bound is a drift and clears both."""
-    half, log = size // 2, math.log(2 / delta)
-
-    def step(s: dict, _t: int, value: float) -> tuple:
-        values = s.setdefault("values", [])
-        values.append(value)
-        del values[: -2 * half]
-        new, old = values[-half:], values[:-half]
-        if min(len(new), len(old)) < least:
-            return False, 0.0
-        m = math.sqrt(1 / len(new) + 1 / len(old))
-        variance = max((len(new) * np.var(new) + len(old) * np.var(old)) / len(values), 0.0001)
-        bound = math.sqrt(2 * variance * m * log) + 2 / 3 * m * log
-        apart = float(abs(np.mean(new) - np.mean(old)))
-        if apart > bound:
-            values.clear()
-            return True, apart
-        return False, apart / bound
-
-    return step, "drift boolean, strength double"
-
-
-def spectral_residual(size: int = 24, sensitivity: float = 0.6, every: int = 5, alpha: float = 0.05) -> Step:
-    """Residual of the log spectrum of the last values, against its own running mean and deviation.
-
-    Evaluated when the window first fills and then whenever the number of events is a multiple of ``every``.
-    """
-    k = 2 + 2 * (1 - sensitivity)
-
-    def step(s: dict, _t: int, value: float) -> tuple:
-        n = s["n"] = s.get("n", 0) + 1
-        values = s["values"] = [*s.get("values", []), value][-size:]
-        if n < size or (n > size and n % every):
-            return 0.0, False
-        x = np.array(values)
-        x = (x - x.mean()) / max(x.std(), 1e-10)
-        logs = np.log(np.abs(np.fft.rfft(x)[: size // 2]) / size + 1e-10)
-        count = np.convolve(np.ones(len(logs)), np.ones(3), "same")
-        rest = np.abs(logs - np.convolve(logs, np.ones(3), "same") / count)
-        raw = float((rest[-1] + rest[:3].mean()) / 2 * (1 + sensitivity))
-        if "mean" in s:
-            d = raw - s["mean"]
-            s["mean"] += alpha * d
-            s["var"] = (1 - alpha) * (s["var"] + alpha * d * d)
-        else:
-            s |= {"mean": raw, "var": 0.0}
-        limit = s["mean"] + k * math.sqrt(s["var"])
-        return min(raw / max(limit, 0.01), 2.0) / 2, raw > limit and raw > 0.1
-
-    return step, "score double, anomaly boolean"
+    """Whether two adjacent windows differ, and by how much of the bound (or by how much, at a drift)."""
+    return _of(lambda: d.Adwin(size, least, delta), lambda o, _t, x: o.update(x), "drift boolean, strength double")
+
+
+def spectral_residual(size: int = 24, sensitivity: float = 0.6, every: int = 5) -> Step:
+    """Score of the log spectrum's residual and whether it is an anomaly."""
+    return _of(lambda: d.Spectral(size, sensitivity, every), lambda o, _t, x: o.step(x), "score double, anomaly boolean")
+
+
+def divergence(bins: int = 50, low: float = 0.0, high: float = 1000.0, limit: float = 0.5, target: int = 1000) -> Step:
+    """Whether the histogram drifted from its reference, and its divergence (or its part of the limit)."""
+    return _of(lambda: d.Divergence(bins, low, high, limit, target), lambda o, _t, x: o.update(x), "drift boolean, strength double")
+
+
+def drift_vote() -> Step:
+    """Kind of drift that any of three tests found (null for none) and their mean score."""
+    return _of(d.DriftVote, lambda o, _t, x: o.update(x), "kind string, score double")
+
+
+def quantile(q: float = 0.95, parity: bool = True) -> Step:
+    """A running quantile by five markers."""
+
+    def update(o: d.Quantile, _t: int, x: float) -> tuple:
+        o.update(x)
+        return (o.value(),)
+
+    return _of(lambda: d.Quantile(q, parity), update, "quantile double")
+
+
+def limit(name: str) -> Step:
+    """A named adaptive threshold after the event, and how far the event is above it."""
+
+    def update(o: d.Limit, _t: int, x: float) -> tuple:
+        score = o.score(x)
+        return o.limit, score
+
+    return _of(lambda: d.preset(name), update, "threshold double, score double")
+
+
+def scale(seconds: int) -> Step:
+    """The window of one scale that the event ends: its mean, score, forecast and season flag (null for events that end none)."""
+    which = next(s for s in d.MultiScale.SCALES if s[0] == seconds)
+    return _of(
+        lambda: d.Scale(*which[:-1]), lambda o, t, x: o.update(t, x) or (None,) * 4, "mean double, score double, expected double, seasonal boolean"
+    )
+
+
+def multi_scale() -> Step:
+    """Combined score of the scales whose windows the event ends, and how many of them are high."""
+    return _of(d.MultiScale, lambda o, t, x: o.step(t, x)[:2], "score double, high int")
+
+
+def rarity(bins: int = 20, low: float = 0.1, high: float = 1000.0, decay: float = 0.999) -> Step:
+    """Rarity of the value's bin in the faded histogram before it, 0 to 1, and the histogram's mean after it."""
+
+    def update(o: d.FadingHistogram, _t: int, x: float) -> tuple:
+        rare = o.rarity(x)
+        o.add(x)
+        return rare, o.mean()
+
+    return _of(lambda: d.FadingHistogram(bins, low, high, decay), update, "rarity double, mean double")
+
+
+def forest(shingle: int = 1, seed: int = 0) -> Step:
+    """Score of the last ``shingle`` values (or of a point, where events carry arrays) in a random cut forest."""
+
+    def update(o: dict, _t: int, x) -> tuple:
+        if isinstance(x, list):
+            return o["forest"].update(x)
+        o["last"] = [*o["last"], x][-shingle:]
+        return o["forest"].update(o["last"]) if len(o["last"]) == shingle else (0.0, False)
+
+    return _of(lambda: {"forest": d.Forest(seed=seed), "last": []}, update, "score double, anomaly boolean")
 
 
 def both(one: Step, other: Step) -> Step:

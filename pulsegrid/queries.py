@@ -75,10 +75,10 @@ QUERIES = {
     "ewma_threshold": lambda s, d: fold.ewma(events(s, d)),
     "page_hinkley": lambda s, d: fold.page_hinkley(events(s, d)),
     "holt_winters": _fold(steps.holt_winters()),
-    "cusum": _fold(steps.cusum(50.0, 5.0, 100.0)),
-    "spectral_residual": _fold(steps.spectral_residual()),
-    "adwin": _fold(steps.adwin(60, 15)),
-    "level_and_drift": _fold(steps.both(steps.holt_winters(), steps.adwin(60, 15))),
+    "cusum": lambda s, d: _fold(steps.cusum(50.0, 5.0, 100.0))(s, d).withColumn("severity", F.round("severity", 6)),
+    "spectral_residual": lambda s, d: _fold(steps.spectral_residual())(s, d).withColumn("score", F.round("score", 6)),
+    "adwin": lambda s, d: _fold(steps.adwin(60, 15))(s, d).withColumn("strength", F.round("strength", 6)),
+    "level_and_drift": lambda s, d: _fold(steps.both(steps.holt_winters(), steps.adwin(60, 15)))(s, d).withColumn("strength", F.round("strength", 6)),
     "scalar_functions": lambda s, d: _scalars(events(s, d)),
     "rolling_percentile": lambda s, d: ad.rolling_percentile(events(s, d)),
     "rolling_mad": lambda s, d: ad.rolling_mad(events(s, d)),
@@ -217,3 +217,9 @@ SQL = {
     "percentiles": f"WITH {_E}, r AS (SELECT detector, value, row_number() OVER (PARTITION BY detector ORDER BY value, event_id) - 1 AS r, count(*) OVER (PARTITION BY detector) AS n FROM e) SELECT detector, max(value) FILTER (r = n * 50 // 100) AS p50, max(value) FILTER (r = n * 95 // 100) AS p95, max(value) FILTER (r = n * 99 // 100) AS p99 FROM r GROUP BY 1",
     "throughput": f"WITH {_E} SELECT detector, count(*) AS events, max(t) - min(t) AS seconds, round(count(*) / (max(t) - min(t)), 8) AS per_second FROM e GROUP BY 1",
 }
+
+from .catalog import folds as _folds  # noqa: E402
+
+for _part in (_folds,):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL

@@ -13,11 +13,11 @@ OTEL_BATCH = (
 )
 #: Attribute keys that name an entity, and that hold a metric.
 ENTITY_KEYS = ("service.name", "entity.id")
-METRIC_KEYS = ("http.duration_ms", "http.status_code", "value")
+METRIC_KEYS = ("http.duration_ms", "http.status_code", "value", "latency_ms", "process.memory.usage", "process.cpu.utilization")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, entity, detector, trace_id, value and whole seconds t of each event."""
+    """event_id, entity, detector, trace_id, value, whole seconds t and nanoseconds t_ns of each event."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(
         "event_id",
@@ -26,6 +26,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("long").alias("trace_id"),
         "value",
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("t_ns"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,16 +19,16 @@ def stream_fold(events: DataFrame, step: Step) -> DataFrame:
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(kept.get[0]) if kept.exists else {}
+        state = pickle.loads(kept.get[0]) if kept.exists else {}
         rows = pd.concat(batches).sort_values(["t", "event_id"])
         out = pd.DataFrame([apply(state, int(t), float(v)) for t, v in zip(rows["t"], rows["value"], strict=True)], columns=names)
-        kept.update((json.dumps(state),))
+        kept.update((pickle.dumps(state),))
         out.insert(0, "event_id", rows["event_id"].to_numpy())
         out.insert(0, "entity", key[0])
         yield out
 
     rows = events.where("value IS NOT NULL AND entity IS NOT NULL").select("entity", "t", "event_id", "value")
-    return rows.groupBy("entity").applyInPandasWithState(run, f"entity long, event_id long, {fields}", "state string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("entity").applyInPandasWithState(run, f"entity long, event_id long, {fields}", "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_rollup(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -1,6 +1,6 @@
 """Fold steps against known series, and the streaming forms against the batch ones."""
 
-import json
+import pickle
 import math
 import random
 
@@ -21,7 +21,7 @@ def through(step, values):
     state, out = {}, []
     for i, v in enumerate(values):
         out.append(step[0](state, i, v))
-        state = json.loads(json.dumps(state))  # as a state store keeps it
+        state = pickle.loads(pickle.dumps(state))  # as a state store keeps it
     return out
 
 
