@@ -17,8 +17,8 @@ def severity_level(score: Column) -> Column:
 
 
 def excess_score(value: Column, threshold: Column) -> Column:
-    """0 up to the threshold, then half the relative excess, 1 at most."""
-    return F.when(value <= threshold, 0.0).otherwise(F.least(value / threshold - 1, F.lit(2.0)) / 2)
+    """0 up to the threshold (or where it is not above 0), then half the relative excess, 1 at most."""
+    return F.when((value <= threshold) | (threshold <= 0), 0.0).otherwise(F.least(F.try_divide(value, threshold) - 1, F.lit(2.0)) / 2)
 
 
 def unix_seconds(t: Column, now: Column) -> Column:
@@ -62,3 +62,8 @@ def plain_text(text: Column) -> Column:
 
 def incident_id(reason: Column, key: Column, bucket: Column) -> Column:
     return F.concat(F.lit("inc_"), F.substring(F.sha2(F.concat_ws(":", reason, key, bucket.cast("string")), 256), 1, 16))
+
+
+def scaled(value: Column, scale: int = 100) -> Column:
+    """A value as a whole number of 1 / scale, so that sums are exact and do not depend on the order of rows."""
+    return F.round(value * scale).cast("decimal(38,0)")

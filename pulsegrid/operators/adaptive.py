@@ -24,7 +24,7 @@ def _last_sorted(column: str, size: int) -> Column:
 
 
 def rolling_percentile(e: DataFrame, size: int = 50, p: float = 0.95, least: int = 10) -> DataFrame:
-    """The value at rank int(p (n - 1)) of the last ``size`` ones; null below ``least`` of them."""
+    """The value at rank int(p (n - 1)) of the last ``size`` ones; null below ``least`` of them (the fold has a substitute there)."""
     s = e.select("event_id", _last_sorted("value", size).alias("s"))
     rank = F.floor(F.lit(p) * (F.size("s") - 1)).cast("int")
     return s.select("event_id", F.when(F.size("s") >= least, F.get("s", rank)).alias("threshold"))
@@ -32,10 +32,14 @@ def rolling_percentile(e: DataFrame, size: int = 50, p: float = 0.95, least: int
 
 def rolling_mad(e: DataFrame, size: int = 50, k: float = 3.0, least: int = 10) -> DataFrame:
     """Median plus k scaled median deviations; each deviation is from the median at its own time."""
-    middle = lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int"))
+
+    def middle(s: Column) -> Column:
+        at = lambda i: F.get(s, i.cast("int"))
+        return (at(F.floor((F.size(s) - 1) / 2)) + at(F.floor(F.size(s) / 2))) / 2
+
     m = e.withColumn("s", _last_sorted("value", size)).withColumn("median", middle(F.col("s"))).withColumn("far", F.abs(F.col("value") - F.col("median")))
     limit = F.col("median") + k * 1.4826 * middle(_last_sorted("far", size))
-    return m.select("event_id", F.when(F.size("s") >= least, F.round(limit, 4)).alias("threshold"))
+    return m.select("event_id", F.when(F.size("s") >= least, limit).alias("threshold"))
 
 
 def fading_rarity(e: DataFrame, bins: int = 50, low: float = 0.1, high: float = 10_000.0, decay: float = 0.999, block: int = 100_000) -> DataFrame:
@@ -63,15 +67,18 @@ def shingles(e: DataFrame, k: int = 10) -> DataFrame:
     return s.where(F.size("shingle") == k)
 
 
-def spectra(e: DataFrame, size: int = 24, frequencies: int = 8) -> DataFrame:
-    """Magnitudes of the first coefficients of each full block of ``size`` values."""
-    rows = _numbered(e).withColumn("block", F.floor(F.col("n") / size))
-    angle = F.col("k") * (F.col("n") % size) * (2 * math.pi / size)
-    parts = rows.select("entity", "block", "n", "value", F.explode(F.sequence(F.lit(0), F.lit(frequencies - 1))).alias("k"))
-    sums = parts.groupBy("entity", "block", "k").agg(
-        F.count("*").alias("c"), F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im")
-    )
-    return sums.where(F.col("c") == size).select("entity", "block", "k", F.round(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) / size, 4).alias("magnitude"))
+def spectra(e: DataFrame, size: int = 24, frequencies: int = 8, scale: int = 100) -> DataFrame:
+    """Magnitudes of the first coefficients of each full block of ``size`` values, in one aggregate.
+
+    Values and the waves' heights are whole numbers (of 1 / scale, and of a millionth), so the sums are exact.
+    """
+    rows = _numbered(e).withColumn("block", F.floor(F.col("n") / size)).withColumn("x", F.round(F.col("value") * scale).cast("long"))
+    wave = lambda f, k: F.get(F.array(*[F.lit(round(1e6 * f(2 * math.pi * k * i / size))) for i in range(size)]), (F.col("n") % size).cast("int"))
+    parts = [F.sum(F.col("x") * wave(f, k)).alias(f"{name}{k}") for k in range(frequencies) for name, f in (("re", math.cos), ("im", math.sin))]
+    sums = rows.groupBy("entity", "block").agg(F.count("x").alias("c"), *parts).where(F.col("c") == size)
+    d = lambda c: F.col(c).cast("double")
+    each = [F.struct(F.lit(k).alias("k"), (F.sqrt(d(f"re{k}") * d(f"re{k}") + d(f"im{k}") * d(f"im{k}")) / size / (scale * 1e6)).alias("magnitude")) for k in range(frequencies)]
+    return sums.select("entity", "block", F.inline(F.array(*each)))
 
 
 def seasonality(e: DataFrame, size: int = 24, share: float = 0.4) -> DataFrame:
@@ -102,16 +109,24 @@ def block_divergence(e: DataFrame, size: int = 20, width: float = 50.0) -> DataF
     return both.groupBy("entity", "block").agg(F.round(F.sum(F.col("b") / size * F.log(F.col("b") / F.col("c"))), 4).alias("divergence"))
 
 
-def decomposition(e: DataFrame, period: int = 8, periods: int = 3, k: float = 2.0, least: int = 10) -> DataFrame:
-    """Trend (centred mean), season (mean by position) and residual of an entity's last periods, and outliers among those."""
+def decomposition(e: DataFrame, period: int = 8, periods: int = 3, k: float = 2.0, least: int = 10, scale: int = 100) -> DataFrame:
+    """Trend (centred mean), season (mean by position) and residual of an entity's last periods, and outliers among those.
+
+    Means are whole numbers of a millionth of 1 / scale, so no sum depends on the order of rows.
+    """
     last = e.withColumn("back", F.row_number().over(W.partitionBy("entity").orderBy(F.desc("t"), F.desc("event_id")))).where(F.col("back") <= period * periods)
-    half = period // 2
-    d = last.withColumn("trend", F.avg("value").over(_key().rowsBetween(-half, half))).withColumn("position", F.col("back") % period)
-    d = d.withColumn("season", F.avg(F.col("value") - F.col("trend")).over(W.partitionBy("entity", "position")))
-    d = d.withColumn("rest", F.col("value") - F.col("trend") - F.col("season"))
-    whole = W.partitionBy("entity")
-    out = (F.count("rest").over(whole) >= least) & (F.abs(F.col("rest") - F.avg("rest").over(whole)) > k * F.stddev_pop("rest").over(whole))
-    return d.select("event_id", *[F.round(c, 4).alias(c) for c in ("trend", "season", "rest")], out.alias("outlier"))
+    half, unit = period // 2, 10**6
+    x = F.round(F.col("value") * scale).cast("long") * unit
+    mean = lambda c, w: F.round(F.sum(c).over(w) / F.count(c).over(w)).cast("long")
+    d = last.withColumn("x", x).withColumn("trend", mean("x", _key().rowsBetween(-half, half))).withColumn("position", F.col("back") % period)
+    d = d.withColumn("off", F.col("x") - F.col("trend")).withColumn("season", mean("off", W.partitionBy("entity", "position")))
+    d = d.withColumn("rest", F.col("off") - F.col("season"))
+    whole, n = W.partitionBy("entity"), F.count("rest").over(W.partitionBy("entity"))
+    s, q = (F.sum(c.cast("decimal(38,0)")).over(whole) for c in (F.col("rest"), F.col("rest").cast("decimal(18,0)") * F.col("rest").cast("decimal(18,0)")))
+    d = d.select("event_id", "trend", "season", "rest", n.alias("n"), s.cast("double").alias("s"), q.cast("double").alias("q"))
+    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - F.col("s") / F.col("n") * (F.col("s") / F.col("n")), F.lit(0.0)))
+    out = (F.col("n") >= least) & (F.abs(F.col("rest") - F.col("s") / F.col("n")) > k * spread)
+    return d.select("event_id", *[(F.col(c) / (scale * unit)).alias(c) for c in ("trend", "season", "rest")], out.alias("outlier"))
 
 
 def behaviour(e: DataFrame, mature: int = 50, width: float = 25.0) -> DataFrame:
@@ -125,14 +140,14 @@ def behaviour(e: DataFrame, mature: int = 50, width: float = 25.0) -> DataFrame:
     )
     before = lambda *by: F.count("*").over(W.partitionBy("entity", *by).orderBy("n").rowsBetween(W.unboundedPreceding, -1))
     rows = rows.select("event_id", "n", *[before(c).alias(c) for c in ("hour", "gap_bin", "bin", "detector")])
-    rare = lambda c, weight: F.when(1 - F.col(c) / F.col("n") > 0.8, weight * (1 - F.col(c) / F.col("n"))).otherwise(0.0)
+    rare = lambda c, weight: F.when(5 * F.col(c) < F.col("n"), weight * (1 - F.col(c) / F.col("n"))).otherwise(0.0)
     parts = F.greatest(
         F.when(F.col("hour") < F.floor(F.floor(F.col("n") / 24) / 2), 0.3).otherwise(0.0),
         F.when(F.col("detector") == 0, 0.3).otherwise(0.0),
         rare("gap_bin", 0.3),
         rare("bin", 0.2),
     )
-    return rows.select("event_id", F.round(F.when(F.col("n") >= mature, parts).otherwise(0.0), 4).alias("deviation"))
+    return rows.select("event_id", F.when(F.col("n") >= mature, parts).otherwise(0.0).alias("deviation"))
 
 
 def ensemble(outputs: DataFrame) -> DataFrame:
@@ -146,7 +161,7 @@ def ensemble(outputs: DataFrame) -> DataFrame:
     given = F.transform("outputs", lambda x, i: F.struct((-x["score"] * x["weight"] * x["confidence"]).alias("c"), i.alias("i"), x["name"].alias("name")))
     return outputs.select(
         "event_id",
-        F.round(total(lambda x: x["score"] * x["weight"] * x["confidence"]) / weight, 6).alias("score"),
-        F.round(0.6 * share + 0.4 * weight / total(lambda x: x["weight"]), 6).alias("confidence"),
+        F.coalesce(F.try_divide(total(lambda x: x["score"] * x["weight"] * x["confidence"]), weight), F.lit(0.0)).alias("score"),
+        (0.6 * share + 0.4 * F.coalesce(F.try_divide(weight, total(lambda x: x["weight"])), F.lit(0.5))).alias("confidence"),
         F.slice(F.array_sort(given), 1, 2)["name"].alias("top"),
     ).select("event_id", "score", "confidence", F.array_join("top", ",").alias("top"))

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .policy import bounded
+
 #: Fixed value: least score of a signal that can make an incident.
 HIGH = 0.2
 
 
 def candidates(s: DataFrame, key: Column, reason: str, confidence: float) -> DataFrame:
-    """Groups of at least two distinct high signals of one key."""
-    high = s.where(F.col("score") >= HIGH).withColumn("key", key.cast("string")).where("key IS NOT NULL")
+    """Groups of at least two distinct signals of one key that are high by score or severity."""
+    high = s.where((F.col("score") >= HIGH) | (F.col("severity") >= HIGH)).withColumn("key", key.cast("string")).where("key IS NOT NULL")
     return (
         high.groupBy("key")
         .agg(
             F.countDistinct("event_id").alias("members"), F.min("t").alias("first_seen"),
-            F.max("t").alias("last_seen"), F.max("score").alias("score_max"),
+            F.max("t").alias("last_seen"), F.max("score").alias("score_max"), F.max("severity").alias("severity_max"),
         )
         .where("members >= 2")
         .select(F.lit(reason).alias("reason"), "*", F.lit(confidence).alias("confidence"))
@@ -41,27 +43,29 @@ def all_candidates(s: DataFrame) -> DataFrame:
 
 
 def with_status(c: DataFrame) -> DataFrame:
-    status = F.when(F.col("score_max") >= 0.6, "escalated").when((F.col("members") >= 2) & (F.col("confidence") >= 0.3), "merged")
+    """Escalated if severe or high, merged if several and sure enough, else new."""
+    status = F.when((F.col("severity_max") >= 0.5) | (F.col("score_max") >= 0.6), "escalated").when((F.col("members") >= 2) & (F.col("confidence") >= 0.3), "merged")
     return c.select("reason", "key", "members", "confidence", status.otherwise("new").alias("status"))
 
 
-def compiled_policy(s: DataFrame, n: int = 200) -> DataFrame:
-    """The latest incidents by entity and detector as rules: boost the escalated ones, suppress weak repeated ones."""
-    c = by_rhythm(s).withColumn("status", F.when(F.col("score_max") >= 0.6, "escalated").otherwise("suppressed"))
-    latest = c.orderBy(F.desc("last_seen"), "key").limit(n)
+def compiled_policy(s: DataFrame, n: int = 200, least: float = 0.6, dismissed: float = 0.35) -> DataFrame:
+    """The latest incidents by entity and detector as rules: suppressed ones suppress, escalated and merged ones boost, unsure ones give none.
+
+    Incidents whose highest score is below ``dismissed`` stand for those that an analyst has suppressed.
+    """
+    c = by_rhythm(s)
+    status = F.when(F.col("score_max") < dismissed, "suppressed").when((F.col("severity_max") >= 0.5) | (F.col("score_max") >= 0.6), "escalated").otherwise("merged")
+    latest = c.withColumn("status", status).orderBy(F.desc("last_seen"), "key").limit(n).where(F.col("confidence") >= least)
+    boost = F.col("status") != "suppressed"
     return latest.select(
-        F.split("key", ":")[0].cast("long").alias("entity"),
-        F.split("key", ":")[1].alias("detector"),
-        F.when(F.col("status") == "escalated", "boost").otherwise("suppress").alias("action"),
-        F.when(F.col("status") == "escalated", 1.1).otherwise(0.0).alias("score_scale"),
-        F.col("last_seen").alias("created"),
-        F.when(F.col("status") == "escalated", 1800).otherwise(3600).cast("long").alias("ttl"),
-    )
+        F.split("key", ":")[0].cast("long").alias("entity"), F.split("key", ":")[1].alias("detector"), F.when(boost, "boost").otherwise("suppress").alias("action"),
+        F.when(boost, 1.1).otherwise(1.0).alias("score_scale"), F.col("last_seen").alias("created"), F.when(boost, 1800).otherwise(3600).cast("long").alias("ttl"),
+    )
 
 
 def with_policy(s: DataFrame, rules: DataFrame) -> DataFrame:
-    """Signals rescaled by the rule of their entity and detector while it lives; a policy is bounded, so it is broadcast."""
-    j = s.join(F.broadcast(rules), ["entity", "detector"], "left")
+    """Signals rescaled by the rule of their entity and detector while it lives."""
+    j = s.join(bounded(rules), ["entity", "detector"], "left")
     lives = F.coalesce((F.col("t") >= F.col("created")) & (F.col("t") <= F.col("created") + F.col("ttl")), F.lit(False))
     return j.select(
         "event_id",
@@ -86,6 +90,7 @@ def worklist(c: DataFrame, n: int = 50) -> DataFrame:
 
 
 def without_suppressed(s: DataFrame, rules: DataFrame) -> DataFrame:
-    """Signals of entities and detectors that no rule suppresses."""
-    gone = rules.where("action = 'suppress'").select("entity", "detector").distinct()
-    return s.join(F.broadcast(gone), ["entity", "detector"], "left_anti").select("event_id", "entity", "detector")
+    """Signals that no living rule of their entity and detector suppresses."""
+    r = bounded(rules.where("action = 'suppress'").select("entity", "detector", "created", (F.col("created") + F.col("ttl")).alias("ends")).distinct())
+    met = (s["entity"] == r["entity"]) & (s["detector"] == r["detector"]) & s["t"].between(r["created"], r["ends"])
+    return s.join(r, met, "left_anti").select("event_id", "entity", "detector")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scoring import severity_level
+
 _VALUE = "struct<stringValue:string,boolValue:boolean,intValue:bigint,doubleValue:double>"
 _ATTRIBUTES = f"array<struct<key:string,value:{_VALUE}>>"
 OTEL_BATCH = (
@@ -31,8 +33,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with a score in [0, 1] from their value."""
-    return events(spark, sf_dir).withColumn("score", F.least(F.lit(1.0), F.col("value") / 200))
+    """Events with a score in [0, 1] from their value alone, and its severity; ``operators.profile`` has those of the detectors."""
+    s = events(spark, sf_dir).withColumn("score", F.least(F.lit(1.0), F.col("value") / 200))
+    return s.withColumn("severity", severity_level(F.col("score")) / 4)
 
 
 def flatten_otel(batches: DataFrame, column: str = "batch") -> DataFrame:
