@@ -6,7 +6,7 @@ from .licenses import op6_licenses
 from .packing import op8_packing
 from .quality import OP9_SQL, op9_quality
 from .simhash import op4_simhash
-from .substrings import op10_substrings
+from .substrings import OP10_SQL, op10_substrings
 from .topk import OP2_SQL, op2_topk
 from .toxicity import op5_toxicity
 from .warc import OP1_SQL, op1_warc
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
 }
-SQL = {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_quality": OP9_SQL}
+SQL = {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL}

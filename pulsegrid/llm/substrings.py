@@ -218,7 +218,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Null and short texts have no window and are never there. Rows with the same id and text are one
     document; those with the same id and other texts are ordered by a hash of the text; null ids come
-    last. An empty table gives no rows; other columns are ignored.
+    last. An empty table gives no rows; other columns are ignored, whatever their names. Texts of any length are read whole.
     """
     docs = _keyed(docs)
     runs = covered_runs(docs).select(
@@ -234,7 +234,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated words gone from its texts, all rows and columns kept.
 
-    A changed text is its kept words joined by spaces (n_chars, if there, follows); others stay as they are.
+    A changed text is its kept words joined by spaces (n_chars, if there, follows); others stay as they are. Rows with a
+    null id or text stay; repeated rows keep the same words. An empty table gives none.
     """
     changed = written(dedup(docs), "changed").select("doc", "part", "kept_text")
     keyed = _keyed(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])), "_row")
@@ -249,6 +250,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every row of ``documents`` (see ``dedup``); repeated rows each get a row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), WS), "")
     all_ = _keyed(docs).select(
@@ -260,3 +262,14 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
     )
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i + 19], ' ')))) AS k, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+c AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+r AS (SELECT doc_id, list(DISTINCT i + o) AS gone FROM c, range(20) AS q(o) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
