@@ -34,8 +34,8 @@ MOST_AGREEING = 12
 #: The stage's least Jaccard similarity, and the bits up to which fingerprints are compared exactly. Texts at 0.8 lie
 #: some 10 bits apart (12 with four shingles against five), with a deviation of 3: beyond 28 is one pair in a million.
 LEAST, WIDE = 0.8, 28
-#: Shards of the stage: bands of so many MinHashes each. A pair at 0.8 shares none with a chance of (1 - 0.8^5)^32 = 3e-6.
-BANDS, ROWS = 32, 5
+#: Shards of the stage: bands of so many MinHashes each. A pair at 0.8 shares none with a chance of (1 - 0.8^4)^24 = 3e-6.
+BANDS, ROWS = 24, 4
 _SALTS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
