@@ -181,7 +181,7 @@ def _pass(shared, names: list[str]):
                 sims = _vectors(counts, idf) @ centres.T
                 for i in np.flatnonzero(letters).tolist():
                     j = int(sims[i].argmax())
-                    s = min(1.0, max(0.0, float(sims[i, j])))
+                    s = round(min(1.0, max(0.0, float(sims[i, j]))), 6)  # products of one text differ in their last bits by its place
                     if pred[i] == "und" or (-s, langs[j]) < (-score[i], pred[i]):
                         pred[i], score[i], out[i] = langs[j], s, s < least[j] * min(1.0, letters[i] / FULL_LETTERS)
                 cols = [*b.columns[:-3], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())]

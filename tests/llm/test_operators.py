@@ -356,3 +356,174 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and "sequence_id" in rows.columns
+
+
+def test_simhash_is_the_plain_count():
+    import xxhash
+
+    for t in TEXTS:
+        w = words((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        grams = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_language_id_rejects_foreign_text(spark):
+    en, fr = "the cat and the dog went down to the river with a friend of mine", "le chat et la souris sont dans la maison avec le chien de mon ami"
+    rows = [(i, " ".join(rnd.sample((en, fr)[i % 2].split(), 12)), ["en", "fr"][i % 2]) for i in range(200)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = [(1, "это совсем другой язык " * 20), (2, "这是另一种语言" * 40), (3, en * 5), (4, fr * 5), (5, en * 5)]
+    extra = spark.createDataFrame([(*r, "x", 1.0) for r in test], "doc_id long, text string, lang_pred string, score double")
+    got = {r.doc_id: r for r in langid.predict(extra, model, ["doc_id"]).collect()}
+    assert [got[i].rejected for i in range(1, 6)] == [True, True, False, False, False] and got[3].score == got[5].score
+
+
+@pytest.mark.parametrize("per", [1, 256])
+def test_language_id_in_several_passes(spark, monkeypatch, per):
+    monkeypatch.setattr(langid, "PER_PASS", per)
+    rows = [(i, f"{'abcdefgh'[i % 4] * 3} {'abcdefgh'[i % 4 + 4] * 4} ", "wxyz"[i % 4]) for i in range(80)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, ["doc_id", "lang"]).collect()
+    assert len(got) == 80 and all(r.lang == r.lang_pred for r in got)
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    notices, restorer = licenses.Notices(licenses.NOTICES), toxicity.Restorer(toxicity.log_model(np.ones(28**3, np.int64)))
+    start = time.time()
+    for t in ("a" * 1_000_000, "a1" * 100_000, "x@" + "b" * 1_000_000, "a " * 300_000, "aaab" * 100_000, "a" + " " * 1_000_000 + "b"):
+        toxicity._features(t, restorer, {"idiot": 3.0})
+    assert len(licenses.scan_text("released under the mit license " * 100_000, notices)[-1]) == 100_000
+    assert time.time() - start < 60
+
+
+def test_neighbouring_notices_are_both_found():
+    spans = licenses.scan_text("Released undr the mit lisense. Released under the MIT license", licenses.Notices(licenses.NOTICES))[-1]
+    assert [(s["first_word"], s["end_word"], s["edits"]) for s in spans] == [(0, 5, 2), (5, 10, 0)]
+
+
+def test_fuzzy_notices_against_all_places():
+    """Every notice within its edits at any place is found: dynamic programming over the whole text."""
+
+    def best(text, p):
+        row = list(range(len(p) + 1))
+        low = row[-1]
+        for ch in text:
+            new = [0]
+            for j, q in enumerate(p):
+                new.append(min(row[j] + (ch != q), row[j + 1] + 1, new[j] + 1))
+            row, low = new, min(low, new[-1])
+        return low
+
+    notices = licenses.Notices(licenses.NOTICES)
+    for phrase, label in licenses.NOTICES.items():
+        for _ in range(6):
+            x = list(phrase)
+            for _ in range(rnd.randint(0, 2)):
+                x[rnd.randrange(1, len(x) - 1)] = rnd.choice("abcxyz")
+            text = "words before " + "".join(x) + " words after"
+            assert best(text, phrase) <= 2 and label in licenses.scan_text(text, notices)[5].split(",")
+    for text in ("all rights", "general public library", "the quick brown fox jumps"):
+        assert licenses.scan_text(text, notices)[5] == "" and all(best(text, p) > max(2, len(p) // licenses.CHARS_PER_EDIT) for p in licenses.NOTICES)
+
+
+def test_topk_prunes_blocks_of_neighbours():
+    r = np.random.default_rng(1)
+    centres = r.normal(0, 400, (40, 16))
+    vecs = np.floor(centres[r.integers(0, 40, 8000)] + r.normal(0, 8, (8000, 16))).astype(np.int64)
+    ids = np.arange(8000)
+    blocks = topk.blocks_of(ids, vecs, vecs[:64])
+    q = vecs[:50]
+    kth = topk.first_kth(ids[:50], q, ids[:2048], vecs[:2048], 10)
+    (row, found, score), scored = topk.search_blocks(ids[:50], q, blocks, 10, kth)
+    assert scored < 0.5 * 50 * len(blocks)
+    for i in range(50):
+        s = vecs @ q[i]
+        want = sorted((-int(s[j]), j) for j in range(8000) if j != i)[:10]
+        assert sorted((-int(b), int(a)) for a, b in zip(found[row == i], score[row == i], strict=True)) == want
+
+
+def test_topk_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BYTES", 64)
+    rows = [(i, [float(i % 7), float(i % 3)]) for i in range(60)]
+    q = topk.quantised(spark.createDataFrame(rows + rows[:2], "vec_id long, embedding array<float>"))
+    few = sorted(map(tuple, topk.top_k(q, F.col("vec_id") % 10 == 0, 3).collect()))
+    monkeypatch.setattr(topk, "QUERY_BYTES", 1 << 20)
+    assert few == sorted(map(tuple, topk.top_k(q, F.col("vec_id") % 10 == 0, 3).collect())) and len(few) == 18
+
+
+def test_patterns_place_most_tokens():
+    r = np.random.default_rng(2)
+    for median in (60, 200):
+        lengths = np.clip(np.exp(r.normal(np.log(median), 0.8, 60_000)).astype(int), 1, 1024)
+        counts = np.bincount(lengths, minlength=1025)
+        total, left = int(lengths.sum()), counts.astype(np.int64)
+        list(packing.fitted(left, 1024))
+        assert (left * np.arange(1025)).sum() < 0.4 * total
+        runs = packing.plan({int(k): int(counts[k]) for k in np.nonzero(counts)[0]}, 1024)
+        assert max(x[2] + x[3] for x in runs) <= 1.01 * total / 1024 + 1
+
+
+def test_plan_is_near_the_least_on_small_cases():
+    for _ in range(20):
+        pieces = [rnd.randint(1, 12) for _ in range(rnd.randint(1, 7))]
+
+        def fits(bins, rest):
+            if not rest:
+                return True
+            return any(fits([*bins[:i], b - rest[0], *bins[i + 1 :]], rest[1:]) for i, b in enumerate(bins) if b >= rest[0])
+
+        least = next(n for n in range(1, 8) if fits([12] * n, sorted(pieces, reverse=True)))
+        assert max(x[2] + x[3] for x in packing.plan(dict(collections.Counter(pieces)), 12)) <= least + 1
+
+
+def test_other_tokenizers_are_asked_for_whole_texts():
+    memory = packing._Ids(public_tokenizers.path("word_bpe_49k.json"))
+    assert memory.known
+    memory.known = False
+    assert packing.token_ids("Don't  stop", memory).tolist() == memory.encoded("Don't  stop").tolist()
+
+
+def test_quality_certifies_the_joint_verdict(spark):
+    """Two rules that each reject 4 % of the good texts reject 8 % together: only the surer one may act."""
+    names = [*quality.RULES]
+    rows = []
+    for i in range(12_000):
+        good, x = i % 3 != 0, rnd.random()
+        scores = dict.fromkeys(names, 0.0)
+        scores["symbol_ratio"] = 0.5 if (x < 0.02 if good else x < 0.5) else 0.0
+        scores["dup_line_ratio"] = 0.8 if (0.02 < x < 0.07 if good else x > 0.4) else 0.0
+        rows.append((i, False, 1, *scores.values(), int(good)))
+    cols = "doc_id long, base_failed boolean, band int, " + ", ".join(f"{n} double" for n in names) + ", quality int"
+    df = spark.createDataFrame(rows, cols)
+    got = quality.thresholds(df.drop("quality"), df.select("doc_id", "quality")).collect()
+    assert len(got) == 1 and got[0].cut_symbol_ratio == 0.5 and got[0].cut_dup_line_ratio is None
+
+
+@pytest.mark.parametrize("n, k", [(10**6, 49_000), (10**9, 49_990_000), (500, 40)])
+def test_binomial_tail_at_every_size(spark, n, k):
+    from math import erf, sqrt
+
+    p = spark.range(1).select(quality.binomial_tail(F.lit(k), F.lit(n), 0.05)).first()[0]
+    normal = 0.5 * (1 + erf((k + 0.5 - n * 0.05) / sqrt(2 * n * 0.05 * 0.95)))
+    assert abs(p - normal) < 0.01
+
+
+def test_stages_keep_rows_without_ids(spark, docs):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    null = docs.where("doc_id IS NULL")
+    assert quality.keep_good(docs, labels).where("doc_id IS NULL").count() == null.count()
+    docs = docs.withColumn("text", F.expr("CASE WHEN doc_id IS NULL THEN array_join(transform(sequence(1, 40), i -> concat('own', i)), ' ') ELSE text END"))
+    for stage in (simhash.one_of_each, substrings.without_repeats):
+        assert stage(docs).where("doc_id IS NULL").count() == 1 and stage(docs.limit(0)).count() == 0
+    assert langid.keep_known(docs.limit(0)).count() == 0
+
+
+def test_one_digest_over_many_pages_and_repeated_ids(spark, monkeypatch):
+    for most in (0, 100):
+        monkeypatch.setattr(warc, "DIGESTS", most)
+        path = scratch(spark, "test")
+        warc.write_warc(spark.createDataFrame([(i // 2, None, "same") for i in range(20)] + [(50, "u", "other")], "page_id long, url string, html string"), path)
+        got = collections.Counter(r.type for r in warc.read_warc(spark, path).collect())
+        assert got == {"response": 3, "revisit": 18}
