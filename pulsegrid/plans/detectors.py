@@ -608,7 +608,7 @@ class Drift:
 
 
 class Quantile:
-    """Five markers that follow a quantile without keeping values. ``parity`` moves them as the reference engine does."""
+    """Five markers that follow a quantile without keeping values. ``parity`` moves them by the rules that the survey lists."""
 
     def __init__(self, q: float = 0.95, parity: bool = True):
         self.q, self.parity, self.n, self.h, self.p = q, parity, 0, [], []
