@@ -36,6 +36,8 @@ MOST_AGREEING = 12
 LEAST, WIDE = 0.8, 28
 #: Shards of the stage: bands of so many MinHashes each. A pair at 0.8 shares none with a chance of (1 - 0.8^4)^24 = 3e-6.
 BANDS, ROWS = 24, 4
+#: Row numbers (some 40 bytes each) that are broadcast, so that texts stay where they are; with more, texts are shuffled.
+ROW_IDS = 2_000_000
 _SALTS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -332,6 +334,12 @@ def _jaccard_shards(least: float):
     return run
 
 
+def _listed(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` with (left_semi) or without (left_anti) those whose _row is listed."""
+    ids = written(ids.select("_row"), "rows")
+    return rows.join(F.broadcast(ids) if ids.count() <= ROW_IDS else ids, "_row", how)
+
+
 def similar_links(marked: DataFrame, words: int, least: float) -> DataFrame:
     """Rows (a, b), b < a, that connect sets of shingles (column _node) as pairs of the least similarity do."""
     sets = marked.where("_bands IS NOT NULL").groupBy("_node").agg(F.min("_row").alias("_row"), F.first("_bands").alias("bands"))
@@ -341,7 +349,7 @@ def similar_links(marked: DataFrame, words: int, least: float) -> DataFrame:
     shards = written(shards.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "shards")  # equal shards once
     held = written(members.join(shards, "key", "left_semi"), "held")
     some = sets.join(held.select(F.col("node").alias("_node")).distinct(), "_node", "left_semi").select("_row")
-    texts = marked.join(some, "_row", "left_semi").select(F.col("_node").alias("node"), F.col("_fp").alias("fp"), "text")
+    texts = _listed(marked, some, "left_semi").select(F.col("_node").alias("node"), F.col("_fp").alias("fp"), "text")
     found = held.join(texts.mapInArrow(_sets(words), "node long, fp long, set binary"), "node")
     dealt = found.repartition("key").sortWithinPartitions("key")
     return written(dealt.mapInArrow(_jaccard_shards(least), "a long, b long").distinct(), "links")
@@ -362,7 +370,9 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = LEAST) -> DataFr
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row")
     nodes = marked.groupBy("_node").agg(F.min(order).alias("first"))  # copies first, so that no group is crowded
     firsts = nodes.join(roots, F.col("_node") == roots.node, "left").groupBy(F.coalesce("root", "_node")).agg(F.min("first").alias("first"))
-    return marked.join(firsts.select("first._row"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # What goes is mostly less than what stays, so the rows that go are listed.
+    gone = marked.select("_row").join(firsts.select("first._row"), "_row", "left_anti")
+    return _listed(marked, gone, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
