@@ -282,33 +282,45 @@ def _sets(words: int):
     return run
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two sorted sets have a Jaccard similarity of ``least`` or more."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both) - 1e-9
-
-
 def jaccard_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
-    """(node, smallest node of its component within the shard), for others than that one."""
+    """(node, smallest node of its component within the shard), for others than that one.
+
+    Shingles are numbered within the shard, so that a set is held against thousands of others in one lookup.
+    """
     order = np.argsort(nodes)
-    nodes, fps, sets = nodes[order], fps[order].view(np.uint64), [sets[i] for i in order]
+    nodes, fps = nodes[order], fps[order].view(np.uint64)
+    sizes = np.array([len(sets[i]) for i in order])
+    ends, ids = np.cumsum(sizes), np.concatenate([sets[i] for i in order])
+    known = np.unique(ids)
+    ids, marked = np.searchsorted(known, ids).astype(np.int32), np.zeros(len(known), bool)
     items, place = np.unique(fps, return_inverse=True)
-    tree, sizes = BKTree(items, WIDE), np.array([len(x) for x in sets])
-    alive, out = np.ones(len(nodes), bool), []
+    tree, alive, out = BKTree(items, WIDE), np.ones(len(nodes), bool), []
+
+    def linked(at: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that reach the least similarity to ``at``."""
+        upto = np.cumsum(sizes[others])
+        cells = np.arange(upto[-1]) + np.repeat(ends[others] - upto, sizes[others])
+        both = np.diff(np.concatenate([[0], np.cumsum(marked[ids[cells]])[upto - 1]]))
+        return others[both >= least * (sizes[at] + sizes[others] - both) - 1e-9]
+
     for first in range(len(nodes)):
         if not alive[first]:
             continue
         alive[first], front = False, [first]
         while front and alive.any():
             at = front.pop()
-            within = np.zeros(len(items), bool)
-            within[tree.near(place[at : at + 1], np.ones(len(items), bool))] = True
-            likely = alive & within[place] & (np.minimum(sizes, sizes[at]) >= least * np.maximum(sizes, sizes[at]) - 1e-9)
-            for i in np.nonzero(likely)[0].tolist():
-                if similar(sets[at], sets[i], least):
-                    alive[i] = False
-                    front.append(i)
-                    out.append((int(nodes[i]), int(nodes[first])))
+            live, within = np.zeros(len(items), bool), np.zeros(len(items), bool)
+            live[place[alive]] = True
+            within[tree.near(place[at : at + 1], live)] = True
+            likely = np.nonzero(alive & within[place] & (np.minimum(sizes, sizes[at]) >= least * np.maximum(sizes, sizes[at]) - 1e-9))[0]
+            own = ids[ends[at] - sizes[at] : ends[at]]
+            marked[own] = True
+            for k in range(0, len(likely), 1024):
+                found = linked(at, likely[k : k + 1024])
+                alive[found] = False
+                front += found.tolist()
+                out += [(int(nodes[i]), int(nodes[first])) for i in found]
+            marked[own] = False
     return out
 
 
