@@ -1,5 +1,6 @@
 """The training-data queries and their SQL, where SQL can express them."""
 
+from .audit import OP13_SQL, op13_filter_audit
 from .bpe import op7_bpe
 from .langid import op3_language_id
 from .licenses import op6_licenses
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
+    "op13_filter_audit": op13_filter_audit,
 }
-SQL = {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL}
+SQL = {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL, "op13_filter_audit": OP13_SQL}
