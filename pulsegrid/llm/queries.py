@@ -2,6 +2,7 @@
 
 from .audit import OP13_SQL, op13_filter_audit
 from .bpe import op7_bpe
+from .codes import OP11_SQL, op11_vector_codes
 from .langid import op3_language_id
 from .licenses import op6_licenses
 from .packing import op8_packing
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
+    "op11_vector_codes": op11_vector_codes,
     "op13_filter_audit": op13_filter_audit,
 }
-SQL = {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL, "op13_filter_audit": OP13_SQL}
+SQL = {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL, "op11_vector_codes": OP11_SQL, "op13_filter_audit": OP13_SQL}
