@@ -223,6 +223,22 @@ _MEDIAN = lambda w: f"(list_sort({w})[(len({w}) + 1) // 2] + list_sort({w})[len(
 _RARE_BIN = "CASE WHEN {x} <= 0.1e0 THEN 0 WHEN {x} >= {high} THEN {last} ELSE least(CAST(floor(ln({x} / 0.1e0) / ln({high} / 0.1e0) * {bins}) AS INT), {last}) END"
 
 
+_FIRST = "4096 * ln(4096e0 / 4095e0)"
+
+
+def distinct_sql(rows: str, key: str, value: str, p: int) -> str:
+    """h: the count of a sketch of 2^p registers after each of the numbered rows, and what each row adds to it."""
+    m = 1 << p
+    return f"""ha AS (SELECT event_id, {key}, rn, md5_number_upper(coalesce(CAST({value} AS VARCHAR), '')) AS hash FROM {rows}),
+  hb AS (SELECT *, hash >> {64 - p} AS reg, hash & {(1 << 64 - p) - 1}::UBIGINT AS rest FROM ha),
+  hc AS (SELECT *, {65 - p} - CASE WHEN rest = 0 THEN 0 ELSE length(bin(rest)) END AS rank FROM hb),
+  hd AS (SELECT *, greatest(coalesce(max(rank) OVER (PARTITION BY {key}, reg ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS old FROM hc),
+  he AS (SELECT *, {m} + sum(CASE WHEN rank > old THEN pow(2e0, -rank) - pow(2e0, -old) ELSE 0e0 END) OVER w AS s, {m} - sum((old = 0)::INT) OVER w AS z FROM hd WINDOW w AS (PARTITION BY {key} ORDER BY rn ROWS UNBOUNDED PRECEDING)),
+  hf AS (SELECT *, {real(0.7213 / (1 + 1.079 / m))} * {m} * {m} / s AS raw FROM he),
+  hg AS (SELECT *, CASE WHEN raw <= {2.5 * m} AND z > 0 THEN {m} * ln({m}::DOUBLE / z) ELSE raw END AS n FROM hf),
+  h AS MATERIALIZED (SELECT *, greatest(n - coalesce(lag(n) OVER (PARTITION BY {key} ORDER BY rn), 0), 0) AS new FROM hg)"""
+
+
 def _windows(size: int, kind: str) -> str:
     """SQL of a threshold over the last values, by the fold's rules; no recursion but the mean's."""
     old = f"list(value) OVER (PARTITION BY entity ORDER BY t, event_id ROWS {size - 1} PRECEDING)"
@@ -307,12 +323,13 @@ SQL = {
   h AS (SELECT event_id, CASE WHEN total IS NULL THEN 1e0 WHEN own / total < 0.001 THEN 100e0 ELSE total / own END AS rarity FROM c), r AS (SELECT""", 1
     ) + ", o AS (SELECT event_id, over AS score, 0e0 AS expected, CASE WHEN rare > 50 THEN 0.95e0 WHEN rare > 20 THEN 0.8e0 WHEN rare > 10 THEN 0.6e0 ELSE 0.4e0 END AS confidence FROM r) " + _FIRED,
     "cardinality": _KEYED(
-        GROUP, {"ids": "[uid]", "vel": "1e0", "m": "1e0", "s": "[1e0]", "new": "1e0", "lim": "2e0"},
-        {"new_": "CASE WHEN list_contains(ids, uid) THEN 0e0 ELSE 1e0 END"},
-        {"ids_": "CASE WHEN new_ = 1 THEN list_append(ids, uid) ELSE ids END", "s_": "list_append(s, new_)[-100:]", "m_": "m + 0.1e0 * (new_ - m)"} | _ewma("new_", "vel", None, _half_life(100)),
+        GROUP, {"vel": _FIRST, "m": _FIRST, "s": f"[{_FIRST}]", "new": _FIRST, "lim": f"2e0 * ({_FIRST})"},
+        {"new_": "(SELECT new FROM h WHERE h.event_id = q.event_id)"},
+        {"s_": "list_append(s, new_)[-100:]", "m_": "m + 0.1e0 * (new_ - m)"} | _ewma("new_", "vel", None, _half_life(100)),
         {"lim_": "greatest(CASE WHEN len(s_) >= 10 THEN list_sort(s_)[1 + CAST(floor(0.95e0 * (len(s_) - 1)) AS INT)] ELSE 2e0 * m_ END, 0.001e0)"},
         uid="trace_id",
-    ) + f", o AS (SELECT event_id, {_above('new', 'lim')} AS score, vel AS expected, CASE WHEN new > vel * 10 THEN 0.95e0 ELSE 0.85e0 END AS confidence FROM r) " + _FIRED,
+    ).replace("), r AS (SELECT", f"), {distinct_sql('n', 'g', 'trace_id', 12)}, r AS (SELECT", 1)
+    + f", o AS (SELECT event_id, {_above('new', 'lim')} AS score, vel AS expected, CASE WHEN new > vel * 10 THEN 0.95e0 ELSE 0.85e0 END AS confidence FROM r) " + _FIRED,
     "volume": _KEYED(
         GROUP, _WINTERS | _LIMIT | {"last": "t", "rate": "NULL::DOUBLE", "vn": "0"},
         {"last_": "t", "gap": "greatest(t - last, 1)", "vn_": "vn + 1"}, {"rps": "1e9 / gap"}, _ewma("rps", "rate", None, _half_life(50)), *_winters("rate_", 24),

@@ -13,13 +13,13 @@ from ..plans.fold import keyed_fold
 SEVERITIES = ("NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
-def outputs(events: DataFrame, key: str = "entity", unique_id: str = "entity", config: det.Config | None = None) -> DataFrame:
+def outputs(events: DataFrame, key: str = "entity", unique_id: str = "entity", config: det.Config | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Raw outputs of all ten detectors for each event (t_ns, value), one shuffle and one sorted pass a key.
 
-    scores, expected and confidences are arrays by detector id, null where it is silent.
+    Columns to ``carry`` come along, so that nothing is joined back. scores, expected and confidences are arrays by detector id, null where it is silent.
     """
     rows = events.withColumn("_uid", F.expr(unique_id))
-    return keyed_fold(rows, lambda: det.Profile(config), det.Profile.step, det.FIELDS, key, ("t_ns", "_uid", "value"))
+    return keyed_fold(rows, lambda: det.Profile(config), det.Profile.step, det.FIELDS, key, ("t_ns", "_uid", "value"), carry)
 
 
 def one_detector(events: DataFrame, make, key: str = "entity", unique_id: str = "entity", warmup: int = 100) -> DataFrame:
@@ -125,10 +125,14 @@ def profiled(events: DataFrame, key: str = "entity", unique_id: str = "entity",
     ``effect`` may hold what a policy does to an event (event_id, score_scale, confidence_scale, suppress); others are as they are.
     """
     c = config or det.Config()
-    raw = outputs(events, key, unique_id, c).where("sequence IS NOT NULL")
-    found = raw.join(events.select("event_id", "entity", "trace_id", "t_ns", "t", "value"), "event_id")
+    raw = outputs(events, key, unique_id, c, ("entity", "trace_id", "t_ns", "t", "value")).where("sequence IS NOT NULL")
+    return signals_of(raw, c, effect=effect)
+
+
+def signals_of(raw: DataFrame, c: det.Config, weights: Column | None = None, effect: DataFrame | None = None) -> DataFrame:
+    """Anomaly signals of the detectors' raw outputs, with the ensemble's weights (equal ones, if none are given)."""
     scores = detector_scores(F.col("scores"), F.col("confidences"), F.col("expected"), F.col("value"))
-    found = with_ensemble(found.withColumn("detector_scores", scores))
+    found = with_ensemble(raw.withColumn("detector_scores", scores), weights)
     if effect is not None:
         found = found.join(effect, "event_id", "left")
         scaled = lambda x, by: F.least(F.greatest(F.col(x) * F.coalesce(F.col(by), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))

@@ -7,11 +7,14 @@ objects, so the batch fold keeps them in a task and the stream keeps them, pickl
 from __future__ import annotations
 
 import math
-from collections import deque
+from collections import OrderedDict, deque
 from dataclasses import dataclass
 
 import numpy as np
 
+from .forest import Forest
+from .sketches import CountMin, Distinct
+
 #: Names of the detectors in the order of their ids.
 NAMES = ("Volume", "Distribution", "Cardinality", "Burst", "Spectral", "ChangePoint", "RRCF", "MultiScale", "Behavioral", "Drift")
 Answer = tuple[float, float, float] | None
@@ -203,14 +206,15 @@ class Distribution:
 
 
 class Cardinality:
-    """New ids an event, exactly counted (a set of ids a key)."""
+    """Increase of the number of distinct ids an event, by a sketch whose size does not grow with the ids."""
 
-    def __init__(self):
-        self.seen, self.velocity, self.limit = set(), Ewma(100), preset("cardinality")
+    def __init__(self, p: int = 12):
+        self.seen, self.known, self.velocity, self.limit = Distinct(p), 0.0, Ewma(100), preset("cardinality")
 
     def update(self, _t: int, uid, _x: float, _warm: bool) -> Answer:
-        new = float(uid not in self.seen)
         self.seen.add(uid)
+        now = self.seen.count()
+        new, self.known = max(now - self.known, 0.0), now
         usual = self.velocity.update(new)
         score = self.limit.score(new)
         return (score, usual, 0.95 if new > 10 * usual else 0.85) if score > 0 else None
@@ -327,70 +331,6 @@ class ChangePoint:
         return (severity, 0.0, 0.8) if side else None
 
 
-class Forest:
-    """A random cut forest over the last points; one tree in turn is grown anew every ``every`` events.
-
-    A point's score is its displacement as if it had been put in: the largest ratio, over the cuts on its way down, of what
-    lies on the other side to what comes along; a point outside the points' box is likely to be cut off from all of them.
-    The mean over the trees is held against its own slow mean.
-    """
-
-    def __init__(self, trees: int = 10, size: int = 128, every: int = 32, leaf: int = 8, seed: int = 0):
-        self.points, self.trees, self.every, self.leaf, self.n = deque(maxlen=size), [None] * trees, every, leaf, 0
-        self.random, self.usual, self.box = np.random.default_rng(seed), None, None
-
-    def _tree(self, p: np.ndarray):
-        """(dimension, cut, left, right, number of points), or the number of points of a leaf."""
-        if len(p) <= self.leaf:
-            return len(p)
-        span = np.ptp(p, axis=0)
-        ends = np.cumsum(span)
-        if ends[-1] <= 0:
-            return len(p)
-        dim = min(int(np.searchsorted(ends, self.random.random() * ends[-1])), len(span) - 1)
-        cut = float(p[:, dim].min() + self.random.random() * span[dim])
-        left = p[:, dim] <= cut
-        return (dim, cut, self._tree(p[left]), self._tree(p[~left]), len(p)) if not left.all() else len(p)
-
-    def _grow(self, which) -> None:
-        points = np.array(self.points)
-        for i in which:
-            self.trees[i] = self._tree(points)
-        low, high = points.min(axis=0), points.max(axis=0)
-        self.box = list(zip(low.tolist(), high.tolist(), strict=True)), float((high - low).sum()), len(points)
-
-    def displacement(self, point: list[float]) -> float:
-        sides, span, n = self.box
-        gone = sum(a - x if x < a else x - b if x > b else 0.0 for x, (a, b) in zip(point, sides, strict=True))
-        apart, total = n * gone / (gone + span) if gone else 0.0, 0.0
-        for tree in self.trees:
-            best, node = apart, tree
-            while type(node) is tuple:
-                dim, cut, left, right, _ = node
-                mine, other = (left, right) if point[dim] <= cut else (right, left)
-                ratio = (other[4] if type(other) is tuple else other) / ((mine[4] if type(mine) is tuple else mine) + 1)
-                best, node = max(best, ratio), mine
-            total += best
-        return total / len(self.trees)
-
-    def update(self, point) -> tuple[float, bool]:
-        """Score 0 to 1 and whether it is an anomaly; nothing is one before the forest has grown."""
-        point = [float(x) for x in point]
-        raw = self.displacement(point) if self.box else None
-        self.points.append(point)
-        self.n += 1
-        if self.box is None:
-            if len(self.points) >= 2 * self.leaf:
-                self._grow(range(len(self.trees)))
-        elif self.n % self.every == 0:
-            self._grow([self.n // self.every % len(self.trees)])
-        if raw is None:
-            return 0.0, False
-        self.usual = raw if self.usual is None else self.usual + 0.01 * (raw - self.usual)
-        score = min(max((raw / max(self.usual, 1e-3) - 1) / 2, 0.0), 1.0)
-        return score, score > 0.3
-
-
 class Rrcf:
     def __init__(self, shingle: int = 10, seed: int = 0):
         self.forest, self.last, self.n = Forest(seed=seed), deque(maxlen=shingle), 0
@@ -454,13 +394,17 @@ class MultiScale:
 
 
 class Behaviour:
-    """One id's habits: hours, speed, gaps, sizes and services; ``deviation`` is taken before the event counts."""
+    """One id's habits: hours, speed, gaps, sizes, services and places; ``deviation`` is taken before the event counts.
+
+    Services are counted in a sketch and services and places by number, so that the state does not grow with them.
+    """
 
     MATURE = 50
 
     def __init__(self, low: float = 0.1):
         self.hours, self.n, self.speed, self.score, self.odd = [0] * 24, 0, 0.0, 0.0, 0
-        self.gaps, self.sizes, self.services = FadingHistogram(20, low, 10_000.0, 0.999), FadingHistogram(20, low, 100_000.0, 0.999), {}
+        self.gaps, self.sizes = FadingHistogram(20, low, 10_000.0, 0.999), FadingHistogram(20, low, 100_000.0, 0.999)
+        self.services, self.variety, self.places = CountMin(), Distinct(10), Distinct(10)
 
     def deviation(self, t: int, gap: float, size: float, service) -> float:
         if self.n < self.MATURE:
@@ -475,28 +419,36 @@ class Behaviour:
         self.odd += worst > 0.5
         return worst
 
-    def add(self, t: int, gap: float, size: float, service) -> None:
+    def add(self, t: int, gap: float, size: float, service, place=None) -> None:
         self.n += 1
         self.hours[t // (3600 * 10**9) % 24] += 1
         now = 1 / max(gap, 1.0)
         self.speed = now if self.speed == 0 else 0.1 * now + 0.9 * self.speed
         self.gaps.add(gap)
         self.sizes.add(size)
-        self.services[service] = self.services.get(service, 0) + 1
+        self.services.add(service)
+        self.variety.add(service)
+        self.places.add(place)
 
 
 class Behavioral:
-    """A store of behaviours by id; ids of a key are few where keys are entities."""
+    """A store of at most ``most`` behaviours by id; the one longest unused makes room and starts anew if met again."""
 
-    def __init__(self):
-        self.store, self.last = {}, (None, 0)
+    def __init__(self, most: int = 10_000):
+        self.store, self.last, self.most, self.evicted = OrderedDict(), (None, 0), max(most, 10), 0
 
-    def step(self, t: int, uid, size: float, service) -> tuple[float, bool]:
+    def step(self, t: int, uid, size: float, service, place=None) -> tuple[float, bool]:
         gap = max(t - self.last[1], 0) / 1e6 if self.last[0] == uid and self.last[1] else 1000.0
         self.last = (uid, t)
-        own = self.store.get(uid) or self.store.setdefault(uid, Behaviour())
+        own = self.store.get(uid)
+        if own is None:
+            if len(self.store) >= self.most:
+                self.store.popitem(last=False)
+                self.evicted += 1
+            own = self.store[uid] = Behaviour()
+        self.store.move_to_end(uid)
         score = own.deviation(t, gap, size, service)
-        own.add(t, gap, size, service)
+        own.add(t, gap, size, service, place)
         return score, own.score > 0.6 and own.n >= Behaviour.MATURE
 
     def update(self, t: int, uid, x: float, _warm: bool) -> Answer:

@@ -12,16 +12,19 @@ from pyspark.sql.types import _parse_datatype_string
 
 
 def keyed_fold(
-    events: DataFrame, start: Callable[[], object], step: Callable, fields: str, key: str = "entity", columns: tuple[str, ...] = ("t", "value")
+    events: DataFrame, start: Callable[[], object], step: Callable, fields: str, key: str = "entity", columns: tuple[str, ...] = ("t", "value"), carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """event_id and what ``step(state, *columns)`` returns for each event, in the order of t and event_id within a key.
+    """event_id, the columns to ``carry`` along and what ``step(state, *columns)`` returns for each event, in the order of t
+    and event_id within a key.
 
     Partitions are sorted and streamed, so a task holds one state and one batch. An event with a null in the last of the
     columns gets nulls and leaves the state alone; events with a null key share one.
     """
-    schema = _parse_datatype_string(f"event_id long, {fields}")
+    kinds = dict(events.dtypes)
+    schema = _parse_datatype_string(", ".join(["event_id long", *(f"{c} {kinds[c]}" for c in carry), fields]))
     arrow = to_arrow_schema(schema)
-    none = (None,) * (len(schema) - 1)
+    own = list(arrow)[1 + len(carry) :]
+    none = (None,) * len(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), None
@@ -32,10 +35,10 @@ def keyed_fold(
                     last, state = k, start()
                 out.append(none if row[-1] is None else step(state, *row))
             cols = list(zip(*out, strict=True)) if out else [()] * len(none)
-            arrays = [pa.array(list(c), f.type) for c, f in zip(cols, list(arrow)[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b["event_id"], *arrays], schema=arrow)
+            arrays = [pa.array(list(c), f.type) for c, f in zip(cols, own, strict=True)]
+            yield pa.RecordBatch.from_arrays([b["event_id"], *(b[c] for c in carry), *arrays], schema=arrow)
 
-    more = [c for c in columns if c not in ("t", "event_id")]
+    more = [c for c in dict.fromkeys((*columns, *carry)) if c not in ("t", "event_id")]
     rows = events.selectExpr(f"{key} AS _key", "t", "event_id", *more)
     return rows.repartition("_key").sortWithinPartitions("_key", "t", "event_id").mapInArrow(run, schema)
 
