@@ -3,7 +3,8 @@
 A set of n-grams is a point: the numbers of its members in groups of hashes, finer groups for larger sets. The overlap
 of two sets is at most the sum of their coordinates' minima, and of a set with anything in a box at most the sum of its
 minima with the box's upper corner, so an R-tree search follows only boxes that can reach the overlap a link needs.
-Pairs that are left are verified on the sets themselves.
+Boxes are of points folded to fewer groups; what a search finds is held against the bound by all groups. Pairs that are
+left are verified on the sets themselves.
 
 Points are dealt to trees by n-grams that a link must share: sets of similarity t share one of the n - ceil(tn) + 1 members
 of each that have the smallest hashes. First, trees of the few smallest alone link copies to each other, star by star,
@@ -22,16 +23,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 from .simhash import components, shingles
 
 WORDS, PERCENT = 4, 85
 #: Smallest hashes that deal sets to the first trees.
 FIRST = 6
-#: Points of a tree's leaf and children of a box.
-LEAF, FAN = 32, 16
-#: Sets (and members of sets in the first trees, 8 bytes each) that a block holds.
-BLOCK, MEMBERS = 4096, 4_000_000
+#: Points of a tree's leaf, children of a box, groups of a point that are one coordinate of a box.
+LEAF, FAN, FOLD = 32, 16, 8
+#: Sets, and members of sets, that a block holds: members of the first trees (8 bytes each), of others (a byte each).
+BLOCK, MEMBERS, COUNTED = 4096, 4_000_000, 64_000_000
 #: Rows (some 40 bytes each) that are broadcast after counting; with more, both sides are shuffled.
 ROWS = 1_000_000
 #: Cells of a step of the search.
@@ -44,14 +45,24 @@ def prefix(n: int, percent: int = PERCENT) -> int:
 
 
 def groups(n: int) -> int:
-    """Groups of a set of ``n``: eight members each or fewer, a power of two."""
-    return max(64, 1 << max(0, (n - 1) // 8).bit_length())
+    """Groups of a set of ``n``: one or two members each on average, a power of two."""
+    return max(64, 1 << max(0, n // 2).bit_length())
 
 
 def point(members: np.ndarray) -> np.ndarray:
-    """Numbers of members in each group."""
+    """Numbers of members in each group, as bytes if they fit."""
     g = groups(len(members))
-    return np.bincount((members & np.uint64(g - 1)).astype(np.int64), minlength=g).astype("<u2")
+    counts = np.bincount((members & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u2")
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if len(raw) == groups(n) else "<u2")
+
+
+def folded(points: np.ndarray, width: int) -> np.ndarray:
+    """Points of fewer groups: a group's number is the low end of its members' hashes."""
+    return points.reshape(len(points), -1, width).sum(axis=1, dtype="<u4") if width < points.shape[1] else points
 
 
 def reach(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -63,11 +74,12 @@ class RTree:
     """Points packed into boxes, level by level; a box is its upper corner and the sizes of its sets."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
-        self.percent = percent
-        self.order = np.concatenate([np.zeros(0, np.int64), *self._packed(points, sizes, np.argsort(sizes, kind="stable"))])
-        self.points, self.sizes = points[self.order], sizes[self.order]
+        self.percent, self.width = percent, max(64, points.shape[1] // FOLD)
+        coarse = folded(points, self.width)
+        self.order = np.concatenate([np.zeros(0, np.int64), *self._packed(coarse, sizes, np.argsort(sizes, kind="stable"))])
+        self.points, self.coarse, self.sizes = points[self.order], coarse[self.order], sizes[self.order]
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
-        hi, low, high, fan = self.points, self.sizes, self.sizes, LEAF
+        hi, low, high, fan = self.coarse, self.sizes, self.sizes, LEAF
         while len(hi) > 1 and (len(hi) > LEAF or not self.levels):
             cuts = np.arange(0, len(hi), fan)
             hi, low, high = np.maximum.reduceat(hi, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
@@ -103,12 +115,11 @@ class RTree:
 
     def search(self, q: np.ndarray, nq: np.ndarray, skip=None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, point) whose bound reaches a link; ``skip`` (of both) leaves pairs of points out."""
-        qi, at = np.repeat(np.arange(len(q)), max(1, len(self.levels[-1][0])) if self.levels else len(self.order)), None
-        top = len(qi) // max(1, len(q))
-        at = np.tile(np.arange(top), len(q))
+        top = len(self.levels[-1][0]) if self.levels else len(self.order)
+        qi, at, near = np.repeat(np.arange(len(q)), top), np.tile(np.arange(top), len(q)), folded(q, self.width)
         for depth in range(len(self.levels) - 1, -1, -1):
             hi, low, high, fan = self.levels[depth]
-            keep = self._pass(q, nq, qi, hi, low, high, at)
+            keep = self._pass(near, nq, qi, hi, low, high, at)
             below = len(self.levels[depth - 1][0]) if depth else len(self.order)
             qi, at = np.repeat(qi[keep], fan), (at[keep][:, None] * fan + np.arange(fan)[None, :]).ravel()
             inside = at < below
@@ -116,8 +127,10 @@ class RTree:
         if skip is not None:
             left = ~skip(qi, self.order[at])
             qi, at = qi[left], at[left]
-        keep = self._pass(q, nq, qi, self.points, self.sizes, self.sizes, at)
-        return qi[keep], self.order[at[keep]]
+        for a, b in ((near, self.coarse), (q, self.points)):
+            keep = self._pass(a, nq, qi, b, self.sizes, self.sizes, at)
+            qi, at = qi[keep], at[keep]
+        return qi, self.order[at]
 
 
 def classes(points: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,8 +138,8 @@ def classes(points: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray,
     width = np.array([len(p) for p in points])
     for g in np.unique(width):
         own, finer = np.nonzero(width == g)[0], np.nonzero(width == 2 * g)[0]
-        folded = np.stack([points[i].reshape(2, g).sum(axis=0, dtype="<u2") for i in finer]) if len(finer) else np.zeros((0, g), "<u2")
-        yield own, np.stack([points[i] for i in own]), finer, folded
+        below = folded(np.stack([points[i] for i in finer]), g) if len(finer) else np.zeros((0, g), "u1")
+        yield own, np.stack([points[i] for i in own]), finer, below
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -139,8 +152,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 def stars(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links (a, b) that connect the given sets exactly as all links among them do."""
     out: list[tuple[int, int]] = []
-    for own, matrix, finer, folded in classes([point(s) for s in sets]):
-        items, points = np.concatenate([own, finer]), np.concatenate([matrix, folded])
+    for own, matrix, finer, below in classes([point(s) for s in sets]):
+        items, points = np.concatenate([own, finer]), np.concatenate([matrix, below])
         sizes = np.array([len(sets[i]) for i in items])
         alive, held = np.ones(len(items), bool), np.zeros(0, np.int64)
         tree = None
@@ -165,10 +178,20 @@ def stars(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) ->
     return out
 
 
-def candidates(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Pairs of nodes of different components whose bound reaches a link: those of side 0 (or 2) with side 1 (or 2)."""
+def candidates(
+    nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, places: np.ndarray, points: list[np.ndarray], side: np.ndarray, percent: int = PERCENT
+) -> np.ndarray:
+    """Pairs of nodes of different components whose bound reaches a link: those of side 0 (or 2) with side 1 (or 2).
+
+    ``places`` tells how many members of each set come before the one that the tree stands for. If that is the first in
+    common, these can't be, and pairs that then can't reach a link are left to the tree of their own first one.
+    """
     out = []
 
+    def skipped(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        least = -(-percent * (sizes[x] + sizes[y]) // (100 + percent))
+        return (comps[x] == comps[y]) | (places[x] > sizes[x] - least) | (places[y] > sizes[y] - least)
+
     def pairs(qi: np.ndarray, q: np.ndarray, pi: np.ndarray, p: np.ndarray) -> None:
         asked, there = side[qi] != 1, side[pi] != 0
         qi, q, pi, p = qi[asked], q[asked], pi[there], p[there]
@@ -176,14 +199,14 @@ def candidates(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points:
             tree = RTree(p, sizes[pi], percent)
             for k in range(0, len(qi), 64):
                 own = qi[k : k + 64]
-                a, b = tree.search(q[k : k + 64], sizes[own], lambda x, y, own=own: comps[own[x]] == comps[pi[y]])
+                a, b = tree.search(q[k : k + 64], sizes[own], lambda x, y, own=own: skipped(own[x], pi[y]))
                 a, b = nodes[own[a]], nodes[pi[b]]
                 out.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0))
 
-    for own, matrix, finer, folded in classes(points):
+    for own, matrix, finer, below in classes(points):
         pairs(own, matrix, own, matrix)
-        pairs(finer, folded, own, matrix)
-        pairs(own, matrix, finer, folded)
+        pairs(finer, below, own, matrix)
+        pairs(own, matrix, finer, below)
     return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
 
 
@@ -250,9 +273,10 @@ def _small(df: DataFrame, rows: int = ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _once(members: DataFrame, n: Column) -> DataFrame:
+def _once(members: DataFrame, n: Column, *more: str) -> DataFrame:
     """key, m and n (sets, and their members) of the keys with several nodes; keys of the same nodes once."""
-    signed = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
+    # Places differ from set to set, but a node is found by every key it shares; keys of the same nodes and places are one.
+    signed = [F.sum(F.xxhash64(F.lit(i), "node", *more).cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
     keys = members.groupBy("key").agg(F.count("*").alias("m"), F.sum(n).alias("n"), *signed).where("m > 1")
     return written(keys.groupBy("m", "n", "s0", "s1").agg(F.min("key").alias("key")).select("key", "m", "n"), "keys")
 
@@ -271,22 +295,25 @@ def close_copies(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -
     def found(node: pa.Array, own: pa.Array) -> list[tuple[int, int]]:
         return stars(node.to_numpy(), [np.frombuffer(x, "<u8") for x in own.to_pylist()], percent)
 
-    return written(dealt.mapInArrow(_by_key(["node", "set"], found), "a long, b long"), "stars")
+    out = written(dealt.mapInArrow(_by_key(["node", "set"], found), "a long, b long"), "stars")
+    discard(members, held)
+    return out
 
 
 def _blocks(held: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """node, key and side of all blocks a node of a key is in: the whole key, or of large ones pairs of parts.
+    """node, place, key and side of all blocks a node of a key is in: the whole key, or of large ones pairs of parts.
 
     Sizes are cut into bands so that linked sets are in one or in neighbours; a part is a band's share of hashes.
     """
-    light = held.join(keys.where(F.col("m") <= BLOCK).select("key"), "key", "left_semi").select("node", F.xxhash64("key").alias("key"), F.lit(2).alias("side"))
-    large = written(keys.where(F.col("m") > BLOCK).select("key"), "large")
+    crowded = (F.col("m") > BLOCK) | (F.col("n") > COUNTED)
+    light = held.join(keys.where(~crowded).select("key"), "key", "left_semi").select("node", "place", F.xxhash64("key").alias("key"), F.lit(2).alias("side"))
+    large = written(keys.where(crowded).select("key"), "large")
     if large.isEmpty():
         return light
     width = -np.log(percent / 100 - 0.01)
     rows = held.join(_small(large), "key").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(width))).cast("int"))
     rows = written(rows, "rows")
-    bands = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    bands = rows.groupBy("key", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / COUNTED)).cast("int").alias("parts"))
     bands = written(bands.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts")), "bands")
     rows = rows.join(_small(bands), "key")
     upto = lambda band: F.coalesce(F.try_element_at("parts", band), F.lit(0))
@@ -297,25 +324,26 @@ def _blocks(held: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     same = each(upto(band), lambda j: block(band, band, F.least(at, j), F.greatest(at, j), F.when(j == at, 2).when(at < j, 0).otherwise(1)))
     above = each(upto(band + 1), lambda j: block(band, band + 1, at, j, F.lit(0)))
     below = each(upto(band - 1), lambda j: block(band - 1, band, j, at, F.lit(1)))
-    dealt = rows.withColumn("own", own).select("node", F.explode(F.concat(same, above, below)).alias("x"))
-    return light.unionByName(dealt.select("node", "x.key", "x.side"))
+    dealt = rows.withColumn("own", own).select("node", "place", F.explode(F.concat(same, above, below)).alias("x"))
+    return light.unionByName(dealt.select("node", "place", "x.key", "x.side"))
 
 
 def across(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between sets of different components (column comp of nodes)."""
-    postings = nodes.select("node", "comp", "n", F.explode("tokens").alias("key"))
+    postings = nodes.select("node", "comp", "n", F.posexplode("tokens").alias("place", "key"))
     mixed = postings.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    held = written(postings.join(_small(written(mixed, "mixed")), "key").select("node", "n", "key"), "postings")
-    blocks = written(_blocks(held, _once(held, F.lit(1)), percent), "blocks")
+    held = written(postings.join(_small(written(mixed, "mixed")), "key").select("node", "n", "place", "key"), "postings")
+    blocks = written(_blocks(held, _once(held, F.col("n"), "place"), percent), "blocks")
     some = _small(written(blocks.select("node").distinct(), "some"))
     points = nodes.select("node", "comp", "n", "point").join(some, "node", "left_semi")
 
-    def found(node: pa.Array, comp: pa.Array, n: pa.Array, own: pa.Array, side: pa.Array) -> np.ndarray:
-        rows = [x.to_numpy() for x in (node, comp, n, side)]
-        return candidates(*rows[:3], [np.frombuffer(x, "<u2") for x in own.to_pylist()], rows[3], percent)
+    def found(node: pa.Array, comp: pa.Array, n: pa.Array, place: pa.Array, own: pa.Array, side: pa.Array) -> np.ndarray:
+        node, comp, n, place, side = (x.to_numpy() for x in (node, comp, n, place, side))
+        points = [unpacked(x, size) for x, size in zip(own.to_pylist(), n.tolist(), strict=True)]
+        return candidates(node, comp, n, place.astype(np.int64), points, side, percent)
 
     dealt = blocks.join(points, "node").repartition("key").sortWithinPartitions("key")
-    pairs = written(dealt.mapInArrow(_by_key(["node", "comp", "n", "point", "side"], found), "a long, b long").distinct(), "pairs")
+    pairs = written(dealt.mapInArrow(_by_key(["node", "comp", "n", "place", "point", "side"], found), "a long, b long").distinct(), "pairs")
     ends = _small(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
     sets = written(texts.join(ends, "node", "left_semi").mapInArrow(_sets(words), "node long, set binary"), "sets")
 
@@ -329,7 +357,9 @@ def across(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(verified, "a long, b long"), "verified")
+    out = written(both.mapInArrow(verified, "a long, b long"), "verified")
+    discard(held, blocks, pairs, sets)
+    return out
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
