@@ -312,8 +312,8 @@ def _fixed(x: str, digits: int) -> str:
 
 _W = f"""{EVENTS},
 w AS (SELECT *, event_id AS i, CASE WHEN event_id % 4 != 0 THEN 'e' || event_id END AS given, CAST(entity AS VARCHAR) AS entity_hash, least(1.0, value / 200)::DOUBLE AS score, event_id % 10 AS det,
-  (30 + event_id % 71) / 100 AS confidence, 'run' || (event_id % 3) AS run_id, CASE WHEN value > 150 THEN 'a' || (t // 86400) END AS truth_id FROM e),
-v AS (SELECT *, CASE WHEN score >= 0.9 THEN 4 WHEN score >= 0.75 THEN 3 WHEN score >= 0.6 THEN 2 WHEN score >= 0.4 THEN 1 ELSE 0 END AS level, len(list_filter(range(10), lambda k: (i + k) % 3 = 0)) AS fired,
+  (30 + event_id % 71) / 100 AS confidence, CASE WHEN event_id % 3 != 2 THEN 'run' || (event_id % 3) END AS run_id, CASE WHEN value > 150 THEN 'a' || (t // 86400) END AS truth_id FROM e),
+v AS (SELECT * REPLACE (CASE WHEN i % 30 = 1 THEN {NOW} + t % 86400 // 1000 ELSE t END AS t), CASE WHEN score >= 0.9 THEN 4 WHEN score >= 0.75 THEN 3 WHEN score >= 0.6 THEN 2 WHEN score >= 0.4 THEN 1 ELSE 0 END AS level, len(list_filter(range(10), lambda k: (i + k) % 3 = 0)) AS fired,
   CASE WHEN i % 5 = 0 THEN 'r' || (entity % 7) ELSE left(entity_hash, 16) END AS rhythm FROM w),
 c AS (SELECT * REPLACE (coalesce(given, left(md5(format('{{}}:{{}}:{{}}:{{:.6f}}:{{:.6f}}', entity_hash, t, det, score, level / 4)), 16)) AS event_id, CAST(trace_id AS VARCHAR) AS trace_id),
   'hash:' || entity_hash AS entity_id, level / 4 AS severity, rhythm || ':' || det AS group_key, 'rhythm=' || rhythm || ' det=' || det AS context, strftime(make_timestamp(t * 1000000), '%Y_%m_%d') AS day FROM v),
@@ -402,10 +402,10 @@ _MEMBERS = "array_to_string(members, ',') AS members, array_to_string(truth_ids,
 _RULELOG = f"""{_W}, rg AS (SELECT rhythm, CAST(substr(rhythm, 2) AS INT) AS n, min(t) AS a FROM c WHERE rhythm LIKE 'r%' GROUP BY 1),
 rl AS (SELECT rhythm, 'suppress' AS kind, 'set' AS change, a + n AS since, 86400 AS secs FROM rg UNION ALL SELECT rhythm, 'suppress', 'set', a + n * 86400, 864000 FROM rg UNION ALL SELECT rhythm, 'patch', 'set', a, NULL FROM rg
   UNION ALL SELECT rhythm, 'patch', 'lift', a + 1, NULL FROM rg WHERE n % 2 = 0),
-rc AS (SELECT rhythm, kind, CASE WHEN kind = 'suppress' THEN since + secs END AS expires, change FROM rl QUALIFY row_number() OVER (PARTITION BY rhythm, kind ORDER BY since DESC, change DESC) = 1),
+rc AS (SELECT rhythm, kind, CASE WHEN kind = 'suppress' THEN since + secs END AS expires, change FROM rl QUALIFY row_number() OVER (PARTITION BY rhythm, kind ORDER BY since DESC, change DESC, secs DESC NULLS FIRST) = 1),
 ra AS (SELECT rhythm, kind, expires FROM rc WHERE change = 'set')"""
 _XB = _X.removeprefix(EVENTS)
-_BODIES = f"""{_W}, bo AS (SELECT *, CAST(CAST(t AS HUGEINT) * CASE i % 3 WHEN 0 THEN 1000000000 WHEN 1 THEN 1000 ELSE 1 END AS HUGEINT) AS stamp, CASE WHEN given IS NULL THEN 0 ELSE i END AS n FROM w WHERE i % 21 = 0),
+_BODIES = f"""{_W}, bo AS (SELECT *, CAST(CASE WHEN i % 30 = 1 THEN t % 86400 * 1000000 ELSE CAST(t AS HUGEINT) END * CASE CASE WHEN i % 30 = 1 THEN 2 ELSE i % 3 END WHEN 0 THEN 1000000000 WHEN 1 THEN 1000 ELSE 1 END AS HUGEINT) AS stamp, CASE WHEN given IS NULL THEN 0 ELSE i END AS n FROM w WHERE i % 21 = 0),
 bd AS (SELECT *, stamp % 16 AS b FROM bo)"""
 SQL = {
     "signal_validation": f"""WITH {_BODIES} SELECT given AS event_id, CAST(stamp AS VARCHAR) AS timestamp, 'ok' AS reason FROM bd WHERE b != 7 AND n % 2 = 0 UNION ALL SELECT given, NULL, 'missing:score' FROM bd WHERE b != 7 AND n % 2 = 1

@@ -38,9 +38,12 @@ def event_id(given: Column, entity: Column, t: Column, detector: Column, score:
 
 
 def canonical(signals: DataFrame, now: int) -> DataFrame:
-    """Canonical rows of wire signals: id, time in seconds, severity share, rhythm, group key and context."""
+    """Canonical rows of wire signals: id, time in seconds, severity share, rhythm, group key and context.
+
+    Signals of a benchmark's run may give their times relative to ``now``.
+    """
     a = lambda k: F.nullif(F.col("attributes")[k], F.lit(""))
-    t = seconds(F.col("timestamp"), F.lit(now).cast("long"))
+    t = seconds(F.col("timestamp"), F.lit(now).cast("long"), a("benchmark_run_id").isNotNull())
     s = signals.withColumn("t", t).withColumn("severity", severity_of(F.col("severity"), F.col("schema_version")))
     s = s.withColumn("event_id", event_id(F.col("event_id"), F.col("entity_hash"), F.col("t"), F.col("primary_detector"), F.col("score"), F.col("severity")))
     rhythm = F.coalesce(a("rhythm_hash"), F.substring("entity_hash", 1, 16))

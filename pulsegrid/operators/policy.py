@@ -129,9 +129,12 @@ def history(registry: DataFrame, n: int = 16) -> DataFrame:
 def active_rules(log: DataFrame, now: Column) -> DataFrame:
     """What holds of a log of suppressions and patches (rhythm, kind, change, at, seconds): each rhythm's and kind's last entry.
 
-    A ``lift`` ends it; suppressions end after their seconds, patches do not.
+    A ``lift`` ends it; suppressions end after their seconds, patches do not. Of entries of one time the one appended last
+    holds (column ``seq``, where the log has it), else one that sets before one that lifts, and of those the longest.
     """
-    last = log.withColumn("_r", F.row_number().over(W.partitionBy("rhythm", "kind").orderBy(F.desc("at"), F.desc("change")))).where("_r = 1")
+    later = [F.desc("seq")] if "seq" in log.columns else []
+    order = [F.desc("at"), *later, F.desc("change"), F.desc_nulls_first("seconds")]
+    last = log.withColumn("_r", F.row_number().over(W.partitionBy("rhythm", "kind").orderBy(*order))).where("_r = 1")
     ends = F.when(F.col("kind") == "suppress", F.col("at") + F.col("seconds"))
     return last.where("change = 'set'").select("rhythm", "kind", ends.alias("expires")).where(F.col("expires").isNull() | (F.col("expires") > now))
 

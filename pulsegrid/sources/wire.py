@@ -19,7 +19,10 @@ REQUIRED = ("schema_version", "entity_hash", "timestamp", "score", "severity", "
 
 
 def wire_signals(e: DataFrame) -> DataFrame:
-    """Events as signals of wire format 1, with detector scores, attributes and time units of several kinds (derived from the event alone)."""
+    """Events as signals of wire format 1, with detector scores, attributes and time units of several kinds (derived from the event alone).
+
+    Some signals of a run give their times relative to now, in nanoseconds.
+    """
     e, i = e.withColumnRenamed("event_id", "_i"), F.col("_i")
     score = F.least(F.lit(1.0), F.col("value") / 200)
     unit = F.when(i % 3 == 0, F.lit(10**9)).when(i % 3 == 1, F.lit(1000)).otherwise(F.lit(1))
@@ -27,14 +30,14 @@ def wire_signals(e: DataFrame) -> DataFrame:
     attributes = F.map_filter(
         F.create_map(
             F.lit("rhythm_hash"), F.when(i % 5 == 0, F.concat(F.lit("r"), (F.col("entity") % 7).cast("string"))),
-            F.lit("trace_id"), F.col("trace_id").cast("string"), F.lit("benchmark_run_id"), F.concat(F.lit("run"), (i % 3).cast("string")),
+            F.lit("trace_id"), F.col("trace_id").cast("string"), F.lit("benchmark_run_id"), F.when(i % 3 != 2, F.concat(F.lit("run"), (i % 3).cast("string"))),
             F.lit("ground_truth_anomaly_id"), F.when(F.col("value") > 150, F.concat(F.lit("a"), F.floor(F.col("t") / 86400).cast("string"))),
         ),
         lambda _k, v: v.isNotNull(),
     )
     return e.select(
         F.when(i % 4 != 0, F.concat(F.lit("e"), i.cast("string"))).alias("event_id"), F.lit(1).alias("schema_version"), F.col("entity").cast("string").alias("entity_hash"),
-        (F.col("t") * unit).cast("string").alias("timestamp"), score.alias("score"), severity_level(score).cast("double").alias("severity"),
+        F.when(i % 30 == 1, F.col("t") % 86400 * 10**6).otherwise(F.col("t") * unit).cast("string").alias("timestamp"), score.alias("score"), severity_level(score).cast("double").alias("severity"),
         (i % 10).cast("int").alias("primary_detector"), F.size(F.filter(scores, lambda s: s.isNotNull())).alias("detectors_fired"),
         ((30 + i % 71) / 100).alias("confidence"), F.transform(scores, lambda s: F.coalesce(s, F.lit(0.0))).alias("detector_scores"), attributes.alias("attributes"),
     )

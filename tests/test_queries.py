@@ -156,3 +156,24 @@ def test_times_tell_their_unit(spark):
     t = ["1704067200", "1704067200000", "1704067200000000000", "50000000000", "x", "-1", None]
     df = spark.createDataFrame([(x,) for x in t], "t string").select(canonical.seconds(F.col("t"), F.lit(9).cast("long")))
     assert [r[0] for r in df.collect()] == [1704067200, 1704067200, 1704067200, 50, 9, 9, 9]
+
+
+def test_rules_of_one_time(spark):
+    log = "rhythm string, kind string, change string, at long, seconds long"
+    rows = [("a", "suppress", "set", 5, 10), ("a", "suppress", "set", 5, 99), ("b", "patch", "set", 5, None), ("b", "patch", "lift", 5, None), ("c", "suppress", "set", 5, None), ("c", "suppress", "set", 5, 7)]
+    got = {r.rhythm: r.expires for r in policy.active_rules(spark.createDataFrame(rows, log), F.lit(0)).collect()}
+    assert got == {"a": 104, "b": None, "c": None}
+    rows = [(*r, i) for i, r in enumerate(rows[:4])] + [("a", "suppress", "set", 5, 10, 9)]
+    got = {r.rhythm: r.expires for r in policy.active_rules(spark.createDataFrame(rows, log + ", seq int"), F.lit(0)).collect()}
+    assert got == {"a": 15}  # the last of a holds, and b is lifted
+
+
+def test_relative_times_of_runs(spark):
+    a = F.create_map(F.lit("benchmark_run_id"), F.col("run"))
+    rows = [("5000000000", "r1"), ("5000000000", None), ("1700000000000000000", "r1"), ("x", "r1"), ("-1", "r1")]
+    signals = spark.createDataFrame(rows, "timestamp string, run string").withColumn("attributes", a).selectExpr(
+        "*", "'1' AS entity_hash", "1 AS schema_version", "0.5D AS score", "2D AS severity", "1 AS primary_detector", "1 AS detectors_fired", "0.5D AS confidence",
+        "array(0D) AS detector_scores", "timestamp AS event_id",
+    )
+    got = sorted((r.event_id, r.run_id or "", r.t) for r in canonical.canonical(signals, 1000).collect())
+    assert got == [("-1", "r1", 1000), ("1700000000000000000", "r1", 1700000000), ("5000000000", "", 5000000000), ("5000000000", "r1", 1005), ("x", "r1", 1000)]
