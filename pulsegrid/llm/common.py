@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,35 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (null for a null id)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(col.cast("string").cast("binary")) % n
+
+
+def by_key(columns: list[str], found: Callable, key: str = "key") -> Callable:
+    """For mapInArrow over rows sorted by ``key``: calls ``found`` with the columns of each key's rows (of two at least).
+
+    It gives pairs (a, b) of longs. Rows are held as Arrow batches, one key's at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sum(map(len, held)) > 1:
+                rows = pa.concat_batches(held)
+                out = np.array(found(*[rows[c] for c in columns]), np.int64).reshape(-1, 2)
+                if len(out):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+        for b in batches:
+            keys = b[key].to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(keys))[0] + 1).tolist(), len(keys)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x < y:
+                    if held and keys[x] != last:
+                        yield from done()
+                        held = []
+                    last = keys[x]
+                    held.append(b.slice(x, y - x))
+        if held:
+            yield from done()
+
+    return run

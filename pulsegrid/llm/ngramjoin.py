@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import by_key, discard, table, written
 from .simhash import components, shingles
 
 WORDS, PERCENT = 4, 85
@@ -32,11 +32,11 @@ FIRST = 6
 #: Points of a tree's leaf, children of a box, groups of a point that are one coordinate of a box.
 LEAF, FAN, FOLD = 32, 16, 8
 #: Sets, and members of sets, that a block holds: members of the first trees (8 bytes each), of others (a byte each).
-BLOCK, MEMBERS, COUNTED = 4096, 4_000_000, 64_000_000
+BLOCK, MEMBERS, COUNTED = 4096, 1_000_000, 16_000_000
 #: Rows (some 40 bytes each) that are broadcast after counting; with more, both sides are shuffled.
 ROWS = 1_000_000
-#: Cells of a step of the search.
-STEP = 1 << 23
+#: Cells of a step of the search; few enough to stay in a core's cache.
+STEP = 1 << 19
 
 
 def prefix(n: int, percent: int = PERCENT) -> int:
@@ -62,7 +62,7 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
 
 def folded(points: np.ndarray, width: int) -> np.ndarray:
     """Points of fewer groups: a group's number is the low end of its members' hashes."""
-    return points.reshape(len(points), -1, width).sum(axis=1, dtype="<u4") if width < points.shape[1] else points
+    return points.reshape(len(points), -1, width).sum(axis=1, dtype="<u2" if points.dtype == np.uint8 else "<u4") if width < points.shape[1] else points
 
 
 def reach(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -235,39 +235,6 @@ def _sets(words: int):
     return run
 
 
-def _edges(out: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[:, 0], pa.int64()), pa.array(out[:, 1], pa.int64())], names=["a", "b"])
-
-
-def _by_key(columns: list[str], found):
-    """Calls ``found`` with the columns of each key's rows, which come together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if sum(map(len, held)) > 1:
-                rows = pa.concat_batches(held)
-                out = found(*[rows[c] for c in columns])
-                if len(out):
-                    yield _edges(np.array(out, np.int64))
-
-        for b in batches:
-            keys = b["key"].to_numpy()
-            cuts = [0, *(np.nonzero(np.diff(keys))[0] + 1).tolist(), len(keys)]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                if x < y:
-                    if held and keys[x] != key:
-                        yield from done()
-                        held = []
-                    key = keys[x]
-                    held.append(b.slice(x, y - x))
-        if held:
-            yield from done()
-
-    return run
-
-
 def _small(df: DataFrame, rows: int = ROWS) -> DataFrame:
     """A written table, broadcast if it is small enough."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -295,7 +262,7 @@ def close_copies(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -
     def found(node: pa.Array, own: pa.Array) -> list[tuple[int, int]]:
         return stars(node.to_numpy(), [np.frombuffer(x, "<u8") for x in own.to_pylist()], percent)
 
-    out = written(dealt.mapInArrow(_by_key(["node", "set"], found), "a long, b long"), "stars")
+    out = written(dealt.mapInArrow(by_key(["node", "set"], found), "a long, b long"), "stars")
     discard(members, held)
     return out
 
@@ -343,7 +310,7 @@ def across(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
         return candidates(node, comp, n, place.astype(np.int64), points, side, percent)
 
     dealt = blocks.join(points, "node").repartition("key").sortWithinPartitions("key")
-    pairs = written(dealt.mapInArrow(_by_key(["node", "comp", "n", "place", "point", "side"], found), "a long, b long").distinct(), "pairs")
+    pairs = written(dealt.mapInArrow(by_key(["node", "comp", "n", "place", "point", "side"], found), "a long, b long").distinct(), "pairs")
     ends = _small(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
     sets = written(texts.join(ends, "node", "left_semi").mapInArrow(_sets(words), "node long, set binary"), "sets")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import table, written
+from .common import by_key, discard, table, written
 
 BITS = 64
 #: Items of a tree's leaf, compared at once; fingerprints of a shard beyond which it is cut by more blocks.
@@ -36,6 +36,8 @@ MOST_AGREEING = 12
 LEAST, WIDE = 0.8, 28
 #: Shards of the stage: bands of so many MinHashes each. A pair at 0.8 shares none with a chance of (1 - 0.8^4)^24 = 3e-6.
 BANDS, ROWS = 24, 4
+#: Sets, and shingles of sets (8 bytes each), that a shard of the stage holds at most; larger ones are cut.
+SETS, SHINGLES = 8192, 1_500_000
 #: Row numbers (some 40 bytes each) that are broadcast, so that texts stay where they are; with more, texts are shuffled.
 ROW_IDS = 2_000_000
 _SALTS = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -256,19 +258,21 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
 
 
-def _marked(words: int, names: list[str]):
-    """Adds to each row a key of its set of shingles (0 for none), the set's fingerprint and its bands."""
+def _marked(words: int):
+    """Adds to each row a key of its set of shingles (0 for none), the set's fingerprint, bands and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, fp, keys = [], [], []
+            node, fp, keys, sizes = [], [], [], []
             for text in b["text"].to_pylist():
                 own = np.unique(shingles(text, words))
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), 42) if len(own) else 0)
                 fp.append(simhash(own) if len(own) else 0)
                 keys.append(bands(own) if len(own) else None)
+                sizes.append(len(own))
             added = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added, pa.array(keys, pa.list_(pa.int64()))], names=[*names, "_node", "_fp", "_bands"])
+            added += [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=["row", "id", "text", "node", "fp", "bands", "n"])
 
     return run
 
@@ -324,47 +328,37 @@ def jaccard_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], le
     return out
 
 
-def _jaccard_shards(least: float):
-    def linked(held: list[tuple]) -> list[tuple[int, int]]:
-        nodes, fps = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
-        return jaccard_links(nodes, fps, [np.frombuffer(h[2], "<u8") for h in held], least)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for k, *row in zip(*(batch[c].to_pylist() for c in ("key", "node", "fp", "set")), strict=True):
-                if k != key:
-                    out += linked(held) if len(held) > 1 else []
-                    key, held = k, []
-                held.append(row)
-            if out:
-                yield _link_batch(out)
-        if len(held) > 1 and (out := linked(held)):
-            yield _link_batch(out)
-
-    return run
-
-
 def _listed(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``rows`` with (left_semi) or without (left_anti) those whose _row is listed."""
-    ids = written(ids.select("_row"), "rows")
-    return rows.join(F.broadcast(ids) if ids.count() <= ROW_IDS else ids, "_row", how)
+    """``rows`` with (left_semi) or without (left_anti) those whose number ``at`` is listed."""
+    ids = written(ids.select("at"), "rows")
+    return rows.join(F.broadcast(ids) if ids.count() <= ROW_IDS else ids, "at", how)
 
 
 def similar_links(marked: DataFrame, words: int, least: float) -> DataFrame:
-    """Rows (a, b), b < a, that connect sets of shingles (column _node) as pairs of the least similarity do."""
-    sets = marked.where("_bands IS NOT NULL").groupBy("_node").agg(F.min("_row").alias("_row"), F.first("_bands").alias("bands"))
-    members = written(sets.select(F.col("_node").alias("node"), F.explode("bands").alias("key")), "bands")
+    """Rows (a, b), b < a, that connect sets of shingles (column node) as pairs of the least similarity do.
+
+    A shard whose sets are more than a task should hold is cut into parts by hash, and each pair of parts is a shard, so that
+    all pairs still meet.
+    """
+    sets = marked.where("bands IS NOT NULL").groupBy("node").agg(F.min("at").alias("at"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    members = written(sets.select("node", "at", "n", F.explode("bands").alias("key")), "bands")
     signed = [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
-    shards = members.groupBy("key").agg(F.count("*").alias("n"), *signed).where("n > 1")
-    shards = written(shards.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "shards")  # equal shards once
-    held = written(members.join(shards, "key", "left_semi"), "held")
-    some = sets.join(held.select(F.col("node").alias("_node")).distinct(), "_node", "left_semi").select("_row")
-    texts = _listed(marked, some, "left_semi").select(F.col("_node").alias("node"), F.col("_fp").alias("fp"), "text")
-    found = held.join(texts.mapInArrow(_sets(words), "node long, fp long, set binary"), "node")
+    parts = F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts")
+    shards = members.groupBy("key").agg(F.count("*").alias("m"), parts, *signed).where("m > 1")
+    shards = written(shards.groupBy("m", "s0", "s1").agg(F.min_by(F.struct("key", "parts"), "key").alias("k")).select("k.*"), "shards")  # equal shards once
+    own = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    held = written(members.join(shards, "key").select("node", "at", F.explode(blocks).alias("key")), "held")
+    texts = _listed(marked, held.select("at").distinct(), "left_semi").select("node", "fp", "text")
+    found = held.select("node", "key").join(texts.mapInArrow(_sets(words), "node long, fp long, set binary"), "node")
     dealt = found.repartition("key").sortWithinPartitions("key")
-    return written(dealt.mapInArrow(_jaccard_shards(least), "a long, b long").distinct(), "links")
+
+    def linked(node: pa.Array, fp: pa.Array, own: pa.Array) -> list[tuple[int, int]]:
+        return jaccard_links(node.to_numpy(), fp.to_numpy(), [np.frombuffer(x, "<u8") for x in own.to_pylist()], least)
+
+    out = written(dealt.mapInArrow(by_key(["node", "fp", "set"], linked), "a long, b long").distinct(), "links")
+    discard(members, shards, held)
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = 5, least: float = LEAST) -> DataFrame:
@@ -372,19 +366,21 @@ def one_of_each(docs: DataFrame, words: int = 5, least: float = LEAST) -> DataFr
     hash of the text.
 
     Near copies are what pairs with a Jaccard similarity of their shingles of ``least`` or more reach; texts
-    without words are copies of each other. Rows without an id are rows like others. An empty table gives none; columns of
-    other names stay as they are.
+    without words are copies of each other. Rows without an id are rows like others. An empty table gives none. All
+    columns but the text travel in one struct, so that columns of any name stay as they are.
     """
-    schema = docs.select("*").schema.add("_node", "long").add("_fp", "long").add("_bands", ArrayType(LongType()))
-    marked = docs.mapInArrow(_marked(words, docs.columns), schema).withColumn("_row", F.monotonically_increasing_id())
-    marked = written(marked.withColumn("_text", F.xxhash64("text")), "marked")
-    roots = components(similar_links(marked, words, least))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row")
-    nodes = marked.groupBy("_node").agg(F.min(order).alias("first"))  # copies first, so that no group is crowded
-    firsts = nodes.join(roots, F.col("_node") == roots.node, "left").groupBy(F.coalesce("root", "_node")).agg(F.min("first").alias("first"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("doc_id").alias("id"), "text")
+    schema = packed.select("*").schema.add("node", "long").add("fp", "long").add("bands", ArrayType(LongType())).add("n", "long")
+    marked = packed.mapInArrow(_marked(words), schema).withColumn("at", F.monotonically_increasing_id())
+    marked = written(marked.withColumn("h", F.xxhash64("text")), "marked")
+    roots = components(similar_links(marked, words, least)).withColumnRenamed("node", "of")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h", "at")
+    nodes = marked.groupBy("node").agg(F.min(order).alias("first"))  # copies first, so that no group is crowded
+    firsts = nodes.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     # What goes is mostly less than what stays, so the rows that go are listed.
-    gone = marked.select("_row").join(firsts.select("first._row"), "_row", "left_anti")
-    return _listed(marked, gone, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = marked.select("at").join(firsts.select("first.at"), "at", "left_anti")
+    kept = _listed(marked, gone, "left_anti")
+    return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, let, table, written
+from .common import WS, discard, let, table, written
 
 WINDOW, SEED = 20, 8
 #: Segments of one seed (some 250 bytes each) that a task holds at most.
@@ -52,19 +52,35 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc (id, null last), part (tells rows of one id but different texts apart) and text."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
-        F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).alias("part"),
-        "text",
-        *more,
-    )
+    """doc (id, null last), part (0, or a number that tells rows of one id but different texts apart) and text.
+
+    Only ids that have several texts need a part, and null ids: their texts are numbered in the order of 128 bits of
+    hash. The numbers are written, so that all uses see the same.
+    """
+    hashes = [F.xxhash64(F.lit(i), "text").alias(f"h{i}") for i in (0, 1)]
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.select(F.coalesce(id_, F.lit(_LAST)).alias("doc"), id_.isNull().alias("none"), *hashes, "text", *more)
+    texts = F.struct("h0", "h1")
+    several = rows.groupBy("doc", "none").agg(F.min(texts).alias("x"), F.max(texts).alias("y")).where("none OR x != y").select("doc", "none")
+    several = written(several, "several")
+    columns = ["doc", "part", "text", *more]
+    if several.isEmpty():
+        return rows.withColumn("part", F.lit(0).cast("long")).select(*columns)
+    by = ["doc", "none", "h0", "h1"]
+    held = rows.select(*by).join(_small(several), ["doc", "none"], "left_semi").distinct()
+    numbers = written(held.orderBy(*by).withColumn("part", F.monotonically_increasing_id() + 1), "numbers")
+    return rows.join(_small(numbers), by, "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long"))).select(*columns)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, broadcast unless it is too large for that."""
+    return F.broadcast(ids) if ids.limit(IDS + 1).count() <= IDS else ids
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed, doc, place) of the seeds of all windows; place holds the part above the word's number."""
+    """(seed, doc, part, at) of the seeds of all windows, at the word's number."""
     for batch in batches:
-        seeds, docs, places = [], [], []
+        seeds, docs, parts, places = [], [], [], []
         for doc, part, text in zip(batch["doc"].to_pylist(), batch["part"].to_pylist(), batch["text"].to_pylist(), strict=True):
             words = _words(text)
             if len(words) >= WINDOW:
@@ -72,13 +88,15 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.unique(at)
                 seeds.append(s[at])
                 docs.append(np.full(len(at), doc))
-                places.append(at + (part << 32))
+                parts.append(np.full(len(at), part))
+                places.append(at)
         none = np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_pydict({"seed": np.concatenate([none, *seeds]), "doc": np.concatenate([none, *docs]), "place": np.concatenate([none, *places])})
+        seed, doc, part, at = (np.concatenate([none, *x]) for x in (seeds, docs, parts, places))
+        yield pa.RecordBatch.from_pydict({"seed": seed, "doc": doc, "part": part, "at": at.astype(np.int32)})
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with a repeated seed: (seed, doc, place of the first, number, words, whether the group is large)."""
+    """Runs of windows with a repeated seed: (seed, doc, part, at of the first, number, words, whether the group is large)."""
     for batch in batches:
         out: list[tuple] = []
         cols = [batch[c].to_pylist() for c in ("doc", "part", "text", "places", "large")]
@@ -90,12 +108,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             repeated[np.array(places)[np.array(large, bool)]] = 2
             cuts = np.nonzero(np.diff(own))[0] + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)], strict=True):
-                kind, at = int(repeated[own[a]]), (part << 32) + a
-                if kind:
-                    out.append((int(s[own[a]]), doc, at, b - a, b" ".join(words[a : b + WINDOW - 1]), kind == 2))
-        rows = list(zip(*out, strict=True)) if out else [[]] * 6
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(list(r), t) for r, t in zip(rows, types, strict=True)], names=["seed", "doc", "place", "n", "words", "large"])
+                if kind := int(repeated[own[a]]):
+                    out.append((int(s[own[a]]), doc, part, a, b - a, b" ".join(words[a : b + WINDOW - 1]), kind == 2))
+        rows = list(zip(*out, strict=True)) if out else [[]] * 7
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+        names = ["seed", "doc", "part", "at", "n", "words", "large"]
+        yield pa.RecordBatch.from_arrays([pa.array(list(r), t) for r, t in zip(rows, types, strict=True)], names=names)
 
 
 def deep_nodes(suffixes: list[tuple[tuple, tuple]], depth: int) -> Iterator[tuple[int, list[tuple]]]:
@@ -116,24 +134,24 @@ def deep_nodes(suffixes: list[tuple[tuple, tuple]], depth: int) -> Iterator[tupl
         yield shared, leaves
 
 
-def covered_in_group(segments: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """(doc, place, number) runs of windows that occur earlier, of segments (doc, place, number, words)."""
+def covered_in_group(segments: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+    """(doc, part, at, number) runs of windows that occur earlier, of segments (doc, part, at, number, words)."""
     out, distinct = [], {}
-    for doc, place, n, words in segments:
+    for doc, part, at, n, words in segments:
         first = distinct.get(words)
-        if first is None or (doc, place) < first[:2]:
-            distinct[words], (doc, place) = (doc, place, n), first[:2] if first else (None, None)
+        if first is None or (doc, part, at) < first[:3]:
+            distinct[words], (doc, part, at) = (doc, part, at, n), first[:3] if first else (None, None, None)
             if first is None:
                 continue
             first = distinct[words]
-        if (doc, place) != first[:2]:  # a row of the same id and text is the same document
-            out.append((doc, place, n))
+        if (doc, part, at) != first[:3]:  # a row of the same id and text is the same document
+            out.append((doc, part, at, n))
     if len(distinct) > 1:
         number: dict[bytes, int] = {}
         suffixes = []
-        for words, (doc, place, n) in distinct.items():
+        for words, (doc, part, at, n) in distinct.items():
             ids = tuple(number.setdefault(w, len(number)) for w in words.split(b" "))
-            suffixes += [(ids[i:], (doc, place + i)) for i in range(n)]
+            suffixes += [(ids[i:], (doc, part, at + i)) for i in range(n)]
         for _, leaves in deep_nodes(suffixes, WINDOW):
             first = min(leaves)
             out += [(*leaf, 1) for leaf in leaves if leaf != first]
@@ -142,13 +160,14 @@ def covered_in_group(segments: list[tuple[int, int, int, bytes]]) -> list[tuple[
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch_of(out):
-        rows = list(zip(*out, strict=True)) if out else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(list(r), t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc", "place", "n"])
+        rows = list(zip(*out, strict=True)) if out else [[]] * 4
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(list(r), t) for r, t in zip(rows, types, strict=True)], names=["doc", "part", "at", "n"])
 
     seed, held = None, []
     for batch in batches:
         out: list[tuple] = []
-        for s, *segment in zip(*(batch[c].to_pylist() for c in ("seed", "doc", "place", "n", "words")), strict=True):
+        for s, *segment in zip(*(batch[c].to_pylist() for c in ("seed", "doc", "part", "at", "n", "words")), strict=True):
             if s != seed:
                 if len(held) > 1:
                     out += covered_in_group(held)
@@ -168,30 +187,30 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def covered_runs(docs: DataFrame) -> DataFrame:
-    """(doc, place, n): runs of windows whose word sequence starts earlier too; docs as of _keyed."""
-    anchors = written(docs.mapInArrow(_anchors, "seed long, doc long, place long"), "anchors")
+    """(doc, part, at, n): runs of windows whose word sequence starts earlier too; docs as of _keyed."""
+    anchors = written(docs.mapInArrow(_anchors, "seed long, doc long, part long, at int"), "anchors")
     # Written, so that the join reads plain shuffles on both sides and a hot seed's rows can be split.
     repeated = written(anchors.groupBy("seed").count().where("count > 1").select("seed", (F.col("count") > GROUP).alias("large")), "repeated")
-    found = anchors.join(repeated, "seed").select(
-        "doc", F.shiftright("place", 32).alias("part"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "large"
-    )
+    found = anchors.join(repeated, "seed").select("doc", "part", "at", "large")
     # A document's own seeds: no more of them than it has words.
     places = written(found.groupBy("doc", "part").agg(F.collect_set(F.struct("at", "large")).alias("s")), "places")
+    discard(anchors, repeated)
     texts = _only(docs, places)
     there = texts.join(places, ["doc", "part"]).select("doc", "part", "text", F.col("s.at").alias("places"), F.col("s.large").alias("large"))
-    segments = written(there.mapInArrow(_segments, "seed long, doc long, place long, n int, words binary, large boolean"), "segments")
-    small = segments.where("NOT large").repartition("seed").sortWithinPartitions("seed").mapInArrow(_trees, "doc long, place long, n int")
+    segments = written(there.mapInArrow(_segments, "seed long, doc long, part long, at int, n int, words binary, large boolean"), "segments")
+    discard(places)
+    covered = "doc long, part long, at int, n int"
+    small = segments.where("NOT large").repartition("seed").sortWithinPartitions("seed").mapInArrow(_trees, covered)
     # Large groups: equal segments first, the earliest of each then by its windows; sums find the earliest place.
-    whole = segments.where("large").select("words", "n", F.struct("doc", "place").alias("at"))
+    whole = segments.where("large").select("words", "n", F.struct("doc", "part", "at").alias("at"))
     first = written(whole.groupBy("words").agg(F.min("at").alias("first")), "firsts")
-    later = whole.join(first, "words").where("at != first").select("at.doc", "at.place", "n")
+    later = whole.join(first, "words").where("at != first").select("at.doc", "at.part", "at.at", "n")
     split = F.split(F.col("words").cast("string"), " ")
     windows = let(split, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.array_join(F.slice(w, i + 1, WINDOW), " ")))
-    each = first.select("first", F.posexplode(windows).alias("i", "window")).select(
-        "window", F.struct(F.col("first.doc").alias("doc"), (F.col("first.place") + F.col("i")).alias("place")).alias("at")
-    )
+    place = F.struct(F.col("first.doc").alias("doc"), F.col("first.part").alias("part"), (F.col("first.at") + F.col("i")).alias("at"))
+    each = first.select("first", F.posexplode(windows).alias("i", "window")).select("window", place.alias("at"))
     earliest = written(each.groupBy("window").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "earliest")
-    again = each.join(earliest, "window").where("at != first").select("at.doc", "at.place", F.lit(1).alias("n"))
+    again = each.join(earliest, "window").where("at != first").select("at.doc", "at.part", "at.at", F.lit(1).alias("n"))
     return small.unionByName(later).unionByName(again)
 
 
@@ -213,6 +232,16 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _dedup(docs: DataFrame) -> DataFrame:
+    runs = covered_runs(docs)
+    by_doc = written(runs.groupBy("doc", "part").agg(F.collect_set(F.struct("at", "n")).alias("runs")), "covered")
+    # Rows of one doc and part have one text, so it does not matter which of them stays.
+    texts = _only(docs, by_doc).join(by_doc, ["doc", "part"]).dropDuplicates(["doc", "part"])
+    return texts.select("doc", "part", "text", "runs").mapInArrow(
+        _kept, "doc long, part long, n_removed long, kept_sha256 string, kept_text string"
+    )
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents in which words are removed: doc, part, n_removed, kept_sha256 and kept_text.
 
@@ -220,15 +249,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     document; those with the same id and other texts are ordered by a hash of the text; null ids come
     last. An empty table gives no rows; other columns are ignored, whatever their names. Texts of any length are read whole.
     """
-    docs = _keyed(docs)
-    runs = covered_runs(docs).select(
-        "doc", F.shiftright("place", 32).alias("part"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "n"
-    )
-    by_doc = written(runs.groupBy("doc", "part").agg(F.collect_set(F.struct("at", "n")).alias("runs")), "covered")
-    texts = _only(docs, by_doc).join(by_doc, ["doc", "part"]).dropDuplicates(["doc", "part"])
-    return texts.select("doc", "part", "text", "runs").mapInArrow(
-        _kept, "doc long, part long, n_removed long, kept_sha256 string, kept_text string"
-    )
+    return _dedup(_keyed(docs))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -237,27 +258,28 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A changed text is its kept words joined by spaces (n_chars, if there, follows); others stay as they are. Rows with a
     null id or text stay; repeated rows keep the same words. An empty table gives none.
     """
-    changed = written(dedup(docs), "changed").select("doc", "part", "kept_text")
-    keyed = _keyed(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])), "_row")
+    # All columns but the text travel in one struct, whatever they are called.
+    keyed = _keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")), "row")
+    changed = written(_dedup(keyed.drop("row")), "changed").select("doc", "part", "kept_text")
     new = keyed.drop("text").join(changed.withColumnRenamed("kept_text", "text"), ["doc", "part"])
-    ids = changed.select("doc", "part")
-    if ids.limit(IDS + 1).count() <= IDS:
-        ids = F.broadcast(ids)
-    out = keyed.join(ids, ["doc", "part"], "left_anti").unionByName(new).select("_row.*", "text")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = keyed.join(_small(changed.select("doc", "part")), ["doc", "part"], "left_anti")
+    out = same.unionByName(new).select("row", "text")
+    fields = {c: F.col("text") if c == "text" else F.col("row").getField(c) for c in docs.columns}
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(F.col("text").isNull(), fields["n_chars"]).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[x.alias(c) for c, x in fields.items()])
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every row of ``documents`` (see ``dedup``); repeated rows each get a row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), WS), "")
-    all_ = _keyed(docs).select(
-        "doc", "part", F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("whole")
+    keyed = _keyed(docs, "doc_id")
+    all_ = keyed.select(
+        "doc_id", "doc", "part", F.size(words).cast("long").alias("n_words"), F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("whole")
     )
-    return all_.join(dedup(docs).drop("kept_text"), ["doc", "part"], "left").select(
-        F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"),
+    return all_.join(_dedup(keyed.drop("doc_id")).drop("kept_text"), ["doc", "part"], "left").select(
+        "doc_id",
         "n_words",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
