@@ -2,9 +2,81 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+#: Windows that are broadcast (some 100 bytes each); with more, points and windows are dealt into ranges of time.
+FEW = 50_000
+
+
+def within(points: DataFrame, windows: DataFrame, at: str = "t", few: int = FEW, parts: int | None = None) -> DataFrame:
+    """Every pair of a point (all its columns) and a window (columns start, end and others, none of the points' names) that holds it.
+
+    Up to ``few`` windows are broadcast, and points stay where they are: each batch is sorted and every window takes its run of
+    it. Beyond that, an endpoint sweep: time is cut into ``parts`` ranges of about as many points and starts each, a window goes
+    to the ranges that it touches, and there points and starts are swept in order, with the windows open at the time.
+    Either way no pair is looked at but those that come out. Points without a time, and windows without an end or that end
+    before they start, meet nothing.
+    """
+    p = points.where(F.col(at).isNotNull())
+    w = windows.where("start IS NOT NULL AND end IS NOT NULL AND start <= end")
+    schema = StructType([*p.schema.fields, *w.schema.fields])
+    if w.limit(few + 1).count() <= few:
+        held = points.sparkSession.sparkContext.broadcast(w.toArrow())
+
+        def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = held.value.combine_chunks()
+            start, end = (table[c].to_numpy() for c in ("start", "end"))
+            for b in batches:
+                t = b[at].to_numpy(zero_copy_only=False)
+                order = np.argsort(t, kind="stable")
+                first, last = np.searchsorted(t[order], start), np.searchsorted(t[order], end, "right")
+                n = last - first
+                if n.sum():
+                    row = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+                    right = table.take(pa.array(np.repeat(np.arange(len(n)), n)))
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(row)).columns, *(c.combine_chunks() for c in right.columns)], names=schema.names)
+
+        return p.mapInArrow(runs, schema)
+    n = parts or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    times = p.select(F.col(at).cast("double").alias("x")).unionByName(w.select(F.col("start").cast("double").alias("x")))
+    cuts = sorted(set(times.agg(F.percentile_approx("x", [k / n for k in range(1, n)], 1000).alias("q")).first().q or [])) if n > 1 else []
+    # How many cuts are at or below.
+    part = lambda x: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= x.cast("double"))) if cuts else F.lit(0)
+    marked = p.select(part(F.col(at)).alias("_part"), F.col(at).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.struct(*p.columns).alias("_p"))
+    spread = w.withColumn("_part", F.explode(F.sequence(part(F.col("start")), part(F.col("end")))))
+    opened = spread.select("_part", F.col("start").cast("double").alias("_at"), F.lit(0).alias("_kind"), F.struct(*w.columns).alias("_w"))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_, number = None, [], count()
+        for b in batches:
+            row, met = [], []
+            rows = zip(*(b[c].to_pylist() for c in ("_part", "_at", "_kind", "_w")), strict=True)
+            for i, (k, x, kind, window) in enumerate(rows):
+                if k != now:
+                    now, open_ = k, []
+                if not kind:
+                    heapq.heappush(open_, (window["end"], next(number), window))
+                    continue
+                while open_ and open_[0][0] < x:
+                    heapq.heappop(open_)
+                row += [i] * len(open_)
+                met += [o[2] for o in open_]
+            if row:
+                left, right = b["_p"].take(pa.array(row)), pa.array(met, b["_w"].type)
+                yield pa.RecordBatch.from_arrays([*left.flatten(), *right.flatten()], names=schema.names)
+
+    both = marked.unionByName(opened, allowMissingColumns=True)
+    return both.repartition(n, "_part").sortWithinPartitions("_part", "_at", "_kind").mapInArrow(sweep, schema)
 
 
 def truth_windows(e: DataFrame) -> DataFrame:
@@ -13,13 +85,9 @@ def truth_windows(e: DataFrame) -> DataFrame:
     return top.select("anomaly_id", (F.col("at") - 3600).alias("start"), (F.col("at") + 3600).alias("end"))
 
 
-def labelled(s: DataFrame, windows: DataFrame, bucket: int = 86400, threshold: float = 0.5) -> DataFrame:
-    """Signals with whether a window holds their time. Intervals meet by the buckets that they touch, not by all pairs."""
-    w = windows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    hits = (
-        s.withColumn("bucket", F.floor(F.col("t") / bucket)).join(w, "bucket").where("t BETWEEN start AND end")
-        .groupBy("event_id").agg(F.min("anomaly_id").alias("anomaly_id"))
-    )
+def labelled(s: DataFrame, windows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Signals with whether a window holds their time."""
+    hits = within(s.select("event_id", "t"), windows.select("anomaly_id", "start", "end")).groupBy("event_id").agg(F.min("anomaly_id").alias("anomaly_id"))
     return s.join(hits, "event_id", "left").select(
         "event_id", "entity", "detector", "score", "t", F.col("anomaly_id").isNotNull().alias("truth"), "anomaly_id", (F.col("score") >= threshold).alias("flagged")
     )
@@ -85,13 +153,13 @@ def throughput(e: DataFrame, cost_per_second: float = 0.0) -> DataFrame:
     )
 
 
-def with_truth(logs: DataFrame, windows: DataFrame, bucket: int = 86400) -> DataFrame:
+def with_truth(logs: DataFrame, windows: DataFrame) -> DataFrame:
     """Logs (event_id, t, service, own_id, flagged_truth) with their truth: their own id, else, if flagged, the first window that holds them.
 
     Windows (seq, anomaly_id, start, end, services) with services hold only theirs; without any they hold all.
     """
-    w = windows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    met = logs.where("flagged_truth AND own_id IS NULL").withColumn("_bucket", F.floor(F.col("t") / bucket)).join(w, "_bucket").where("t BETWEEN start AND end")
+    asked = logs.where("flagged_truth AND own_id IS NULL").select("event_id", "t", "service")
+    met = within(asked, windows.select("seq", "anomaly_id", "start", "end", "services"))
     met = met.where((F.size("services") == 0) | F.array_contains("services", F.col("service")))
     first = met.groupBy("event_id").agg(F.min_by("anomaly_id", "seq").alias("_window"))
     return logs.join(first, "event_id", "left").withColumn("truth_id", F.coalesce("own_id", "_window")).drop("_window")
