@@ -9,7 +9,8 @@ left are verified on the sets themselves.
 Points are dealt to trees by n-grams that a link must share: sets of similarity t share one of the n - ceil(tn) + 1 members
 of each that have the smallest hashes. First, trees of the few smallest alone link copies to each other, star by star,
 so that groups of copies become components. Then trees of all those n-grams look for links between different
-components only; an n-gram within one component is left out. What a tree may hold is bounded: larger ones are cut
+components only; an n-gram within one component, or of sets whose sizes can't match, is left out. A few points are a single
+leaf, and all leaves of a batch are searched at once. What a tree may hold is bounded: larger ones are cut
 into blocks by size and hash, and every pair of blocks whose sizes can match is a tree of its own.
 """
 
@@ -45,8 +46,8 @@ def prefix(n: int, percent: int = PERCENT) -> int:
 
 
 def groups(n: int) -> int:
-    """Groups of a set of ``n``: one or two members each on average, a power of two."""
-    return max(64, 1 << max(0, n // 2).bit_length())
+    """Groups of a set of ``n``: two to four members each on average, a power of two."""
+    return max(64, 1 << (n // 4).bit_length())
 
 
 def point(members: np.ndarray) -> np.ndarray:
@@ -210,6 +211,73 @@ def candidates(
     return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
 
 
+def in_leaves(
+    key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, points: list[np.ndarray], side: np.ndarray, percent: int = PERCENT
+) -> np.ndarray:
+    """``candidates`` of many keys (in order) of few points each, all at once."""
+    coarse = np.zeros((len(n), 64), "<u4")
+    width = np.array([len(p) for p in points])
+    for g in np.unique(width):
+        at = np.nonzero(width == g)[0]
+        coarse[at] = folded(np.stack([points[i] for i in at]), 64)
+    cuts = np.append(np.nonzero(np.append(True, key[1:] != key[:-1]))[0], len(key))
+    rest = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(key)) - 1
+    x = np.repeat(np.arange(len(key)), rest)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(rest) - rest, rest)
+    a, b = n[x], n[y]
+    least = -(-percent * (a + b) // (100 + percent))
+    keep = (comp[x] != comp[y]) & (np.minimum(a, b) * 100 >= percent * np.maximum(a, b)) & (place[x] <= a - least) & (place[y] <= b - least)
+    keep &= ((side[x] != 1) & (side[y] != 0)) | ((side[y] != 1) & (side[x] != 0))
+    x, y, least = x[keep], y[keep], least[keep]
+    keep = np.concatenate([np.zeros(0, bool), *(np.minimum(coarse[x[k : k + STEP // 64]], coarse[y[k : k + STEP // 64]]).sum(axis=1) >= least[k : k + STEP // 64] for k in range(0, len(x), STEP // 64))])
+    out = []
+    for i, j, most in zip(x[keep].tolist(), y[keep].tolist(), least[keep].tolist(), strict=True):
+        g = min(len(points[i]), len(points[j]))
+        p, q = (folded(points[k][None, :], g)[0] for k in (i, j))
+        if np.minimum(p, q).sum(dtype=np.int64) >= most:
+            out.append((max(node[i], node[j]), min(node[i], node[j])))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _searched(percent: int):
+    """For mapInArrow over rows of blocks sorted by key: their candidates."""
+
+    def of(rows: pa.RecordBatch) -> np.ndarray:
+        key, node, comp, n, place, side = (rows[c].to_numpy() for c in ("key", "node", "comp", "n", "place", "side"))
+        place = place.astype(np.int64)
+        points = [unpacked(x, size) for x, size in zip(rows["point"].to_pylist(), n.tolist(), strict=True)]
+        cuts = np.append(np.nonzero(np.append(True, key[1:] != key[:-1]))[0], len(key))
+        m, found = np.diff(cuts), []
+        for a, b in zip(cuts[:-1][m > 2 * LEAF].tolist(), cuts[1:][m > 2 * LEAF].tolist(), strict=True):
+            found.append(candidates(node[a:b], comp[a:b], n[a:b], place[a:b], points[a:b], side[a:b], percent))
+        few = np.nonzero(np.repeat((m > 1) & (m <= 2 * LEAF), m))[0]
+        if len(few):
+            found.append(in_leaves(key[few], node[few], comp[few], n[few], place[few], [points[i] for i in few], side[few], percent))
+        return np.concatenate([np.zeros((0, 2), np.int64), *found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not len(b):
+                continue
+            last = b["key"][-1].as_py()
+            keys = b["key"].to_numpy()
+            if held and keys[0] == keys[-1] == held[-1]["key"][-1].as_py():
+                held.append(b)  # a key that goes on
+                continue
+            at = int(np.nonzero(keys == last)[0][0])
+            rows = pa.concat_batches([*held, b.slice(0, at)])
+            held = [b.slice(at)]
+            if len(rows):
+                out = of(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+        if held:
+            out = of(pa.concat_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def _marked(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,18 +308,17 @@ def _small(df: DataFrame, rows: int = ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _once(members: DataFrame, n: Column, *more: str) -> DataFrame:
-    """key, m and n (sets, and their members) of the keys with several nodes; keys of the same nodes once."""
-    # Places differ from set to set, but a node is found by every key it shares; keys of the same nodes and places are one.
-    signed = [F.sum(F.xxhash64(F.lit(i), "node", *more).cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
-    keys = members.groupBy("key").agg(F.count("*").alias("m"), F.sum(n).alias("n"), *signed).where("m > 1")
-    return written(keys.groupBy("m", "n", "s0", "s1").agg(F.min("key").alias("key")).select("key", "m", "n"), "keys")
+def _nodes_of() -> list[Column]:
+    """Sums that tell which nodes (and places, where there are) a key has."""
+    return [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
 
 
 def close_copies(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links among the sets that share one of their few smallest members."""
     members = written(nodes.select("node", "n", F.explode(F.slice("tokens", 1, FIRST)).alias("key")), "smallest")
-    keys = _once(members, F.col("n")).withColumn("parts", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / MEMBERS)))
+    keys = members.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"), *_nodes_of()).where("m > 1")
+    keys = written(keys.groupBy("m", "n", "s0", "s1").agg(F.min("key").alias("key")), "keys")  # keys of the same nodes once
+    keys = keys.withColumn("parts", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / MEMBERS)))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     held = members.join(keys.select("key", "parts"), "key").select("node", F.xxhash64("key", part).alias("key"))
     held = written(held, "held")
@@ -267,27 +334,39 @@ def close_copies(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -
     return out
 
 
-def _blocks(held: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """node, place, key and side of all blocks a node of a key is in: the whole key, or of large ones pairs of parts.
+def _blocks(held: DataFrame, percent: int) -> DataFrame:
+    """node, place, key and side of all blocks a node of a key is in: bands of the key, or of large ones pairs of parts.
 
-    Sizes are cut into bands so that linked sets are in one or in neighbours; a part is a band's share of hashes.
+    Sizes are cut into bands so that linked sets are in one or in neighbours. A block is a band with the one above
+    (side 1); one is left out if all its nodes are of one component or no pair can be linked by this key.
+    A part is a band's share of hashes.
     """
-    crowded = (F.col("m") > BLOCK) | (F.col("n") > COUNTED)
-    light = held.join(keys.where(~crowded).select("key"), "key", "left_semi").select("node", "place", F.xxhash64("key").alias("key"), F.lit(2).alias("side"))
-    large = written(keys.where(crowded).select("key"), "large")
-    if large.isEmpty():
+    keys = held.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    large = written(keys.where((F.col("m") > BLOCK) | (F.col("n") > COUNTED)).select("key"), "large")
+    crowded = not large.isEmpty()
+    light = held.join(_small(large), "key", "left_anti") if crowded else held
+    band = F.col("band")
+    both = F.array(*[F.struct(F.xxhash64("key", b).alias("key"), F.lit(s).alias("side")) for b, s in ((band, 2), (band - 1, 1))])
+    each = light.select("node", "comp", "n", "place", F.explode(both).alias("x")).select("node", "comp", "n", "place", "x.*")
+    # The smaller set of a pair must have its first member in common among so few.
+    early = F.col("place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    signed = [F.sum(F.xxhash64(F.lit(i), "node", "place").cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
+    live = each.groupBy("key").agg(
+        F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("side").alias("own"), F.min(F.when(early, F.col("n"))).alias("least"), *signed
+    )
+    live = live.where("m > 1 AND c0 != c1 AND own = 2 AND least IS NOT NULL")
+    live = written(live.groupBy("m", "s0", "s1").agg(F.min_by(F.struct("key", "least"), "key").alias("k")).select("k.*"), "live")  # equal ones once
+    light = each.join(_small(live), "key").where(early | (F.col("n") >= F.col("least"))).select("node", "place", "key", "side")
+    if not crowded:
         return light
-    width = -np.log(percent / 100 - 0.01)
-    rows = held.join(_small(large), "key").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(width))).cast("int"))
-    rows = written(rows, "rows")
+    rows = held.join(_small(large), "key")
     bands = rows.groupBy("key", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / COUNTED)).cast("int").alias("parts"))
     bands = written(bands.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts")), "bands")
     rows = rows.join(_small(bands), "key")
-    upto = lambda band: F.coalesce(F.try_element_at("parts", band), F.lit(0))
+    upto = lambda b: F.coalesce(F.try_element_at("parts", b), F.lit(0))
     each = lambda n, body: F.transform(F.filter(F.sequence(F.lit(0), n), lambda j: j < n), body)
-    own, at = F.pmod(F.xxhash64("node"), upto(F.col("band"))).cast("int"), F.col("own")
+    own, at = F.pmod(F.xxhash64("node"), upto(band)).cast("int"), F.col("own")
     block = lambda low, high, i, j, side: F.struct(F.xxhash64("key", low, high, i, j).alias("key"), side.alias("side"))
-    band = F.col("band")
     same = each(upto(band), lambda j: block(band, band, F.least(at, j), F.greatest(at, j), F.when(j == at, 2).when(at < j, 0).otherwise(1)))
     above = each(upto(band + 1), lambda j: block(band, band + 1, at, j, F.lit(0)))
     below = each(upto(band - 1), lambda j: block(band - 1, band, j, at, F.lit(1)))
@@ -299,18 +378,14 @@ def across(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     """Links between sets of different components (column comp of nodes)."""
     postings = nodes.select("node", "comp", "n", F.posexplode("tokens").alias("place", "key"))
     mixed = postings.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    held = written(postings.join(_small(written(mixed, "mixed")), "key").select("node", "n", "place", "key"), "postings")
-    blocks = written(_blocks(held, _once(held, F.col("n"), "place"), percent), "blocks")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(percent / 100 - 0.01)))).cast("int").alias("band")
+    held = written(postings.join(_small(written(mixed, "mixed")), "key").select("node", "comp", "n", "place", "key", band), "postings")
+    blocks = written(_blocks(held, percent), "blocks")
     some = _small(written(blocks.select("node").distinct(), "some"))
     points = nodes.select("node", "comp", "n", "point").join(some, "node", "left_semi")
 
-    def found(node: pa.Array, comp: pa.Array, n: pa.Array, place: pa.Array, own: pa.Array, side: pa.Array) -> np.ndarray:
-        node, comp, n, place, side = (x.to_numpy() for x in (node, comp, n, place, side))
-        points = [unpacked(x, size) for x, size in zip(own.to_pylist(), n.tolist(), strict=True)]
-        return candidates(node, comp, n, place.astype(np.int64), points, side, percent)
-
     dealt = blocks.join(points, "node").repartition("key").sortWithinPartitions("key")
-    pairs = written(dealt.mapInArrow(by_key(["node", "comp", "n", "place", "point", "side"], found), "a long, b long").distinct(), "pairs")
+    pairs = written(dealt.mapInArrow(_searched(percent), "a long, b long").distinct(), "pairs")
     ends = _small(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
     sets = written(texts.join(ends, "node", "left_semi").mapInArrow(_sets(words), "node long, set binary"), "sets")
 
