@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as prof
 from ..plans import detectors as det
-from ..plans import fold, steps
+from ..plans import fold, scan, steps
 from ..sources.events import events
 from .common import numbered, real, recursion, EVENTS
 
@@ -187,6 +187,7 @@ def _stepped(step, *names: str, key: str = "entity", columns=("t", "value")):
 
 _C = det.Config()
 QUERIES = {
+    "ewma_blocks": lambda s, d: _round(scan.ewma(events(s, d), key="detector", hot=1000, blocks=16), "mean", "std", "threshold", digits=5),
     "cusum_default": _stepped(steps.cusum(50.0, 5.0, 100.0), "severity", key=GROUP),
     "kl_drift": _stepped(steps.divergence(20, 0.0, 500.0, 0.05, 100), "strength", key=GROUP),
     "drift_vote": _stepped(steps.drift_vote(), "score", key=GROUP),
@@ -281,6 +282,10 @@ SQL = {
         "entity", {"mean": "v", "var": "0e0", "threshold": "NULL::DOUBLE"},
         {"threshold_": "greatest(mean + 3e0 * greatest(sqrt(var), 0.001e0), 0.001e0)"} | _ewma("v", "mean", "var", _half_life(50)),
     ) + " SELECT event_id, mean, sqrt(var) AS std, threshold FROM r",
+    "ewma_blocks": _KEYED(
+        "detector", {"mean": "v", "var": "0e0", "threshold": "NULL::DOUBLE"},
+        {"threshold_": "greatest(mean + 3e0 * greatest(sqrt(var), 0.001e0), 0.001e0)"} | _ewma("v", "mean", "var", _half_life(50)),
+    ) + " SELECT event_id, round(mean, 5) AS mean, round(sqrt(var), 5) AS std, round(threshold, 5) AS threshold FROM r",
     "page_hinkley": _KEYED("entity", _HINKLEY | {"pm": "v", "ps": "-0.5e0", "pl": "-0.5e0"}, *_hinkley("v", 500.0, 0.5))
     + " SELECT event_id, rise, rise / 500e0 AS strength, alarm FROM r",
     "holt_winters": _KEYED("entity", _WINTERS | {"hn": "1", "level": "v", "expected": "v"}, *_winters("v", 24)) + " SELECT event_id, expected, off AS deviation FROM r",
