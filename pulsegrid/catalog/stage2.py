@@ -297,9 +297,9 @@ QUERIES = {
     "bandit_samples": lambda s, d: learn.sampled_weights(_betas(s, d)),
     "refreshed_weights": lambda s, d: _weights(s, d).withColumn("weight", F.round("weight", 6)),
     "profile_snapshots": lambda s, d: learn.restored(learn.snapshot(_betas(s, d), _weights(s, d), "policy-250")).select("entity", "detector", "n", F.round("weight", 6).alias("weight"), F.round("alpha", 6).alias("alpha")),
-    "profile": lambda s, d: prof.profiled(events(s, d), "entity % 8", "entity").select("event_id", "sequence", "anomaly", "severity", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), F.col("attribution.fired").alias("fired")),
-    "profile_baseline": lambda s, d: prof.profiled(events(s, d), "entity % 8", "entity").select("event_id", "baseline.age", "baseline.mean", "baseline.std", "baseline.warmup"),
-    "profile_cases": lambda s, d: case.decided(case.from_hits(can.canonical(wire.wire(prof.profiled(events(s, d), "entity % 8", "entity").where("anomaly")).withColumn("timestamp", F.col("timestamp").cast("string")).withColumn("severity", F.col("severity").cast("double")).withColumn("attributes", F.create_map(F.lit("trace_id"), F.lit(None).cast("string"))), NOW))).select("incident_id", "status", F.size("members").alias("members")),
+    "profile": lambda s, d: prof.profiled(events(s, d), "entity", "trace_id").select("event_id", "sequence", "anomaly", "severity", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), F.col("attribution.fired").alias("fired")),
+    "profile_baseline": lambda s, d: prof.profiled(events(s, d), "entity", "trace_id").select("event_id", "baseline.age", "baseline.mean", "baseline.std", "baseline.warmup"),
+    "profile_cases": lambda s, d: case.decided(case.from_hits(can.canonical(wire.wire(prof.profiled(events(s, d), "entity", "trace_id").where("anomaly")).withColumn("timestamp", F.col("timestamp").cast("string")).withColumn("severity", F.col("severity").cast("double")).withColumn("attributes", F.create_map(F.lit("trace_id"), F.lit(None).cast("string"))), NOW))).select("incident_id", "status", F.size("members").alias("members")),
     "profile_store": lambda s, d: events(s, d).groupBy("entity").agg(F.count("*").alias("n")).agg(F.count("*").alias("profiles"), F.count_if(F.col("n") >= 50).alias("mature"), F.sum("n").alias("accesses")),
 }
 
@@ -423,7 +423,7 @@ SQL = {
   b AS (SELECT *, CASE WHEN i % 11 = 0 THEN list_concat(['status'], a)[3:] ELSE a END AS k FROM a)
   SELECT event_id, CASE WHEN list_contains(k, 'duration') THEN value WHEN list_contains(k, 'latency') THEN value WHEN list_contains(k, 'status') THEN 200 ELSE 1 END::DOUBLE AS metric, CASE WHEN list_contains(k, 'service') THEN detector END AS service FROM b""",
     "canonical": f"WITH {_W} SELECT event_id, entity_hash, entity_id, t, score, severity, det AS detector, fired, confidence, rhythm, group_key, context, trace_id, run_id, truth_id, day FROM c",
-    "batch_ids": f"WITH {_W} SELECT day, md5(string_agg(event_id || ':' || t, '|' ORDER BY event_id || ':' || t)) AS batch_id, count(*) AS events FROM c GROUP BY 1",
+    "batch_ids": f"WITH {_W} SELECT day, md5(count(*) || ':' || sum(('0x' || substr(md5(event_id || ':' || t), 1, 15))::HUGEINT) || ':' || sum(('0x' || substr(md5(event_id || ':' || t), 16, 15))::HUGEINT)) AS batch_id, count(*) AS events FROM c GROUP BY 1",
     "wire": f"WITH {_X} SELECT lower(lpad(to_hex(entity), 16, '0')) || '-' || t_ns || '-' || i AS event_id, 1 AS schema_version, CAST(entity AS VARCHAR) AS entity_hash, t_ns AS timestamp, round(score, 6) AS score, severity, a1 AS primary_detector, fired AS detectors_fired, round(confidence, 6) AS confidence, {_SC} FROM x",
     "slim": f"WITH {_X} SELECT 1 AS schema_version, CAST(entity AS VARCHAR) AS entity_hash, t_ns AS timestamp, round(score, 6) AS score, severity, round(confidence, 6) AS confidence, a1 AS primary_detector, fired AS detectors_fired, {_SC} FROM x",
     "legacy": f"WITH {_X} SELECT event_id, anomaly, round(score, 6) AS score, severity, a1 AS detector FROM x",
@@ -527,7 +527,7 @@ SQL = {
     "bandit_weights": f"{_BETA} SELECT entity, detector, round(weight, 6) AS weight FROM bw",
     "refreshed_weights": f"{_BETA} SELECT entity, detector, round(weight, 6) AS weight FROM rw",
     "profile_snapshots": f"{_BETA} SELECT entity, detector, n, round(rw.weight, 6) AS weight, round(alpha, 6) AS alpha FROM bs JOIN rw USING (entity, detector)",
-    "profile_baseline": recursion("entity % 8", {"s": "v", "q": "v * v"}, {"s_": "s + v", "q_": "q + v * v"})
+    "profile_baseline": recursion("entity", {"s": "v", "q": "v * v"}, {"s_": "s + v", "q_": "q + v * v"})
     + " SELECT event_id, rn AS age, s / rn AS mean, sqrt(greatest(q / rn - (s / rn) * (s / rn), 0)) AS std, rn < 100 AS warmup FROM r",
     "profile_store": f"WITH {EVENTS}, k AS (SELECT entity, count(*) AS n FROM e GROUP BY 1) SELECT count(*) AS profiles, count(*) FILTER (n >= 50) AS mature, CAST(sum(n) AS BIGINT) AS accesses FROM k",
     "sparse_terms": f"""WITH t AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+') AS w FROM documents), u AS (SELECT doc_id, len(w) AS n, unnest(w) AS word FROM t), k AS (SELECT doc_id, n, word, count(*) AS c FROM u GROUP BY ALL)

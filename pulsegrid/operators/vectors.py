@@ -50,7 +50,7 @@ def indexed(rows: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def write_index(points: DataFrame, path: str) -> None:
     """Points by day, each file in the order of group and time, so that filters skip files and row groups."""
-    points.repartition("day").sortWithinPartitions("group_key", "t").write.mode("append").partitionBy("day").parquet(path)
+    points.repartitionByRange("day", "group_key").sortWithinPartitions("group_key", "t").write.mode("append").partitionBy("day").parquet(path)
 
 
 def in_window(points: DataFrame, first: int, last: int, text: str | None = None) -> DataFrame:
