@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -197,7 +198,7 @@ QUERIES = {
     "limit_conservative": _stepped(steps.limit("conservative")),
     "scale_hours": lambda s, d: _stepped(steps.scale(3600), "mean", "score", "expected", key=GROUP, columns=("t_ns", "value"))(s, d).where("mean IS NOT NULL").drop("seasonal"),
     "faded_histogram": _stepped(steps.rarity(), "rarity", "mean"),
-    "quantile_markers": _stepped(steps.quantile(), key=GROUP),
+    "quantile_markers": _stepped(steps.quantile(), "quantile", key=GROUP),
     "forest": _stepped(steps.forest(10), "score", key=GROUP),
     "forest_points": lambda s, d: fold.keyed_fold(
         events(s, d).withColumn("point", F.array("value", F.col("trace_id").cast("double"), (F.col("t") % 86400).cast("double"))), dict, *steps.forest(), key=GROUP, columns=("t", "point")
@@ -253,6 +254,61 @@ def _windows(size: int, kind: str) -> str:
     return f"{mean}, {w}, {d}, {limits} SELECT event_id, lim AS threshold, {_above('value', 'lim')} AS score FROM l"
 
 
+def _markers(q: float) -> str:
+    """SQL of a running quantile by five markers: heights h0 to h4 and places p0 to p4, the first five values in l."""
+    state = {"n": "1", "l": "[v]"} | {f"h{i}": "0e0" for i in range(5)} | {f"p{i}": "0e0" for i in range(5)}
+    layers = [
+        {"n_": "n + 1", "l_": "CASE WHEN n < 5 THEN list_append(l, v) ELSE l END", "ready": "n >= 5", "init": "n = 4"},
+        {"first": "CASE WHEN NOT ready OR v < h0 OR v >= h4 THEN 9 WHEN v < h1 THEN 1 WHEN v < h2 THEN 2 WHEN v < h3 THEN 3 ELSE 4 END", "s": "list_sort(l_)"},
+        {f"a{i}": f"CASE WHEN init THEN s[{i + 1}] " + {0: "WHEN ready THEN least(h0, v) ", 4: "WHEN ready THEN greatest(h4, v) "}.get(i, "") + f"ELSE h{i} END" for i in range(5)}
+        | {f"q{i}": f"CASE WHEN init THEN {i}e0 ELSE p{i} + (ready AND first <= {i})::INT END" for i in range(5)},
+    ]
+    want = {1: f"2 * n_ * {real(q)}", 2: f"n_ * {real(q)}", 3: f"n_ * {real(1 + q)}"}
+    low, p = "a0", "q0"
+    for i in (1, 2, 3):
+        h, up, at, above = f"a{i}", f"a{i + 1}", f"q{i}", f"q{i + 1}"
+        layers += [
+            {f"d{i}": f"{want[i]} - {at}"},
+            {f"s{i}": f"CASE WHEN NOT ready THEN 0e0 WHEN d{i} >= 1 AND {above} - {at} > 1 THEN 1e0 WHEN d{i} <= -1 AND {p} - {at} < -1 THEN -1e0 ELSE 0e0 END"},
+            {f"u{i}": f"({at} - {p} + s{i}) * ({up} - {h}) / ({above} - {at}) + ({above} - {at} - s{i}) * ({h} - {low}) / ({at} - {p})"},
+            {f"w{i}": f"CASE WHEN abs({above} - {p}) >= 1e-10 THEN {h} + s{i} / ({above} - {p}) * u{i} ELSE {h} END"},
+            {
+                f"b{i}": f"CASE WHEN s{i} = 0 THEN {h} WHEN {low} < w{i} AND w{i} < {up} THEN w{i} WHEN s{i} > 0 THEN {h} + ({up} - {h}) / ({above} - {at}) "
+                f"ELSE {h} + ({low} - {h}) / ({p} - {at}) END",
+                f"r{i}": f"{at} + s{i}",
+            },
+        ]
+        low, p = f"b{i}", f"r{i}"
+    layers.append({"h0_": "a0", "h4_": "a4", "p0_": "q0", "p4_": "q4"} | {f"h{i}_": f"b{i}" for i in (1, 2, 3)} | {f"p{i}_": f"r{i}" for i in (1, 2, 3)})
+    return recursion(GROUP, state, *layers) + f" SELECT event_id, round(CASE WHEN n >= 5 THEN h2 ELSE list_sort(l)[1 + CAST(floor((len(l) - 1) * {real(q)}) AS INT)] END, 6) AS quantile FROM r"
+
+
+def _scales() -> str:
+    """SQL of the four scales, each a recursion of its own, and what they come to where a window ends."""
+    parts, found = [], []
+    for k, (seconds, half, tolerance, _kept, period, weight) in enumerate(det.MultiScale.SCALES, 1):
+        ends = {
+            "mean_": "CASE WHEN done THEN avg1 END", "begun_": "CASE WHEN done THEN t ELSE begun END", "total_": "CASE WHEN done THEN v ELSE total + v END",
+            "c_": "CASE WHEN done THEN 1 ELSE c + 1 END",
+        }
+        state = {"begun": "t", "total": "v", "c": "1", "mean": "NULL::DOUBLE"}
+        done = {"done": f"t - begun >= {seconds * 10**9}", "avg1": "total / c"}
+        if period:
+            one = _KEYED(GROUP, _WINTERS | {"season": f"list_transform(range({period}), lambda i: 0e0)"} | state, done, *_winters("avg1", period, "done"), ends)
+        else:
+            usual = f"CASE WHEN NOT done THEN expected WHEN expected IS NULL THEN avg1 ELSE expected + {_half_life(half)} * (avg1 - expected) END"
+            one = _KEYED(GROUP, {"expected": "NULL::DOUBLE", "off": "0e0"} | state, done, {"expected_": usual}, {"off_": "abs(avg1 - expected_)"} | ends)
+        begin = one.index(", r AS (") + 2
+        parts.append(re.sub(r"\br\b", f"r{k}", one[begin:]))
+        score = f"least(greatest(off - greatest({real(tolerance)} * expected, 1e0), 0e0) / greatest(expected, 1e0), 2e0) / 2"
+        found.append(f"SELECT event_id, {score} AS s, {real(weight)} AS w FROM r{k} WHERE mean IS NOT NULL")
+    head = one[: one.index(", r AS (") + 2]
+    return f"""{head}{", ".join(parts)}, f AS ({" UNION ALL ".join(found)}),
+  g AS (SELECT event_id, sum(s * w) / sum(w) AS score, count(*) FILTER (s > 0.5) AS high FROM f GROUP BY 1),
+  o AS (SELECT event_id, CASE WHEN high >= 2 THEN least(1.2e0 * score, 1e0) ELSE score END AS score, 0e0 AS expected, 0.75e0 + least(0.05e0 * high, 0.2e0) AS confidence FROM g)
+  SELECT event_id, round(score, 6) AS score, expected, round(confidence, 6) AS confidence FROM o WHERE score > 0.6"""
+
+
 _FIRED = "SELECT event_id, round(score, 6) AS score, round(expected, 6) AS expected, round(confidence, 6) AS confidence FROM o WHERE score > 0"
 
 
@@ -307,6 +363,8 @@ SQL = {
     "limit_cardinality": _windows(100, "percentile"),
     "limit_burst": _windows(50, "mad"),
     "limit_conservative": _windows(100, "median"),
+    "quantile_markers": _markers(0.95),
+    "multi_scale": _scales(),
     "scale_hours": _KEYED(
         GROUP, _WINTERS | {"begun": "t", "total": "v", "c": "1", "mean": "NULL::DOUBLE"},
         {"done": "t - begun >= 3600000000000", "avg1": "total / c"}, *_winters("avg1", 24, "done"),
