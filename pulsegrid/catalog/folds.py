@@ -8,9 +8,11 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import profile as prof
+from ..operators import sketches as sk
 from ..plans import detectors as det
 from ..plans import fold, scan, steps
 from ..sources.events import events
+from ..streaming import scoring
 from .common import numbered, real, recursion, EVENTS
 
 #: Keys of the detectors' queries: eight groups of users, so that warm-ups end; the unique id is the user.
@@ -186,6 +188,20 @@ def _stepped(step, *names: str, key: str = "entity", columns=("t", "value")):
     return lambda s, d: _round(fold.keyed_fold(events(s, d), dict, *step, key=key, columns=columns), *names)
 
 
+def _loop(s, d):
+    """Events scored day by day, each day after feedback on the one before: right where a value is high."""
+    e = events(s, d)
+    day = F.floor(F.col("t") / 86400).cast("int")
+    first = prof.profiled(e, "entity", "trace_id")
+    scores = F.transform("detector_scores", lambda x: x["score"])
+    told = first.select("entity", "t_ns", "event_id", scores.alias("scores"), F.col("anomaly").alias("decision"), (F.col("value") > 100).alias("truth"))
+    rows = scoring.tagged(e, told, "trace_id")
+    rows = rows.withColumn("round", F.floor(F.col("t_ns") / (86400 * 10**9)).cast("int") + F.when(F.col("kind") == 0, 1).otherwise(0))
+    out = scoring.replayed(rows, every=10)
+    found = prof.with_ensemble(out.withColumn("detector_scores", prof.detector_scores(F.col("scores"), F.col("confidences"), F.col("expected"), F.col("value"))), F.col("weights"))
+    return found.select("event_id", "entity", "sequence", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), F.transform("weights", lambda w: F.round(w, 6)).alias("weights"))
+
+
 _C = det.Config()
 QUERIES = {
     "ewma_blocks": lambda s, d: _round(scan.ewma(events(s, d), key="detector", hot=1000, blocks=16), "mean", "std", "threshold", digits=5),
@@ -198,6 +214,8 @@ QUERIES = {
     "limit_conservative": _stepped(steps.limit("conservative")),
     "scale_hours": lambda s, d: _stepped(steps.scale(3600), "mean", "score", "expected", key=GROUP, columns=("t_ns", "value"))(s, d).where("mean IS NOT NULL").drop("seasonal"),
     "faded_histogram": _stepped(steps.rarity(), "rarity", "mean"),
+    "distinct_sketches": lambda s, d: _round(sk.estimates(sk.registers(events(s, d), "detector", "entity", 10), "detector", 10), "distinct"),
+    "scoring_loop": _loop,
     "quantile_markers": _stepped(steps.quantile(), "quantile", key=GROUP),
     "forest": _stepped(steps.forest(10), "score", key=GROUP),
     "forest_points": lambda s, d: fold.keyed_fold(
@@ -363,6 +381,10 @@ SQL = {
     "limit_cardinality": _windows(100, "percentile"),
     "limit_burst": _windows(50, "mad"),
     "limit_conservative": _windows(100, "median"),
+    "distinct_sketches": f"""WITH {EVENTS}, a AS (SELECT DISTINCT detector, md5_number_upper(coalesce(CAST(entity AS VARCHAR), '')) AS hash FROM e),
+  b AS (SELECT detector, hash >> 54 AS reg, max(55 - CASE WHEN hash & {(1 << 54) - 1}::UBIGINT = 0 THEN 0 ELSE length(bin(hash & {(1 << 54) - 1}::UBIGINT)) END) AS rank FROM a GROUP BY 1, 2),
+  c AS (SELECT detector, 1024 - count(*) AS z, {real(0.7213 / (1 + 1.079 / 1024))} * 1024 * 1024 / (sum(pow(2e0, -rank)) + 1024 - count(*)) AS raw FROM b GROUP BY 1)
+  SELECT detector, round(CASE WHEN raw <= 2560 AND z > 0 THEN 1024 * ln(1024e0 / z) ELSE raw END, 6) AS distinct FROM c""",
     "quantile_markers": _markers(0.95),
     "multi_scale": _scales(),
     "scale_hours": _KEYED(
