@@ -325,7 +325,7 @@ h AS (SELECT * FROM h2 QUALIFY row_number() OVER (PARTITION BY group_key ORDER B
 
 def _group(src: str, key: str, reason: str, sure: str, prefix: str, bucket: str) -> str:
     return f"""SELECT 'inc_' || left(sha256('{reason}:' || key || ':' || {bucket}), 16) AS incident_id, '{reason}' AS reason, {sure}::DOUBLE AS confidence, '{prefix}' || key AS entity_key,
-  list_sort(list(DISTINCT event_id)) AS members, coalesce(list_sort(list(DISTINCT truth_id) FILTER (truth_id IS NOT NULL)), []) AS truth_ids, list_sort(list(DISTINCT run_id)) AS run_ids, min(t) AS first_seen,
+  list_sort(list(DISTINCT event_id)) AS members, coalesce(list_sort(list(DISTINCT truth_id) FILTER (truth_id IS NOT NULL)), []) AS truth_ids, coalesce(list_sort(list(DISTINCT run_id) FILTER (run_id IS NOT NULL)), []) AS run_ids, min(t) AS first_seen,
   max(t) AS last_seen, max(severity) AS severity_max, max(score) AS score_max, 0 AS grp FROM (SELECT *, CAST({key} AS VARCHAR) AS key FROM {src}) AS k
   WHERE (score >= 0.2 OR severity >= 0.2) AND key IS NOT NULL GROUP BY key HAVING count(DISTINCT event_id) >= 2"""
 
@@ -338,7 +338,7 @@ def _cand(src: str) -> str:
 
 
 _SEEDS = """SELECT CASE WHEN truth_id IS NOT NULL THEN 'gt_' || truth_id ELSE 'evt_' || event_id END AS incident_id, 'temporal' AS reason, greatest(0.4, least(1.0, confidence))::DOUBLE AS confidence,
-  entity_id AS entity_key, [event_id] AS members, CASE WHEN truth_id IS NOT NULL THEN [truth_id] ELSE [] END AS truth_ids, [run_id] AS run_ids, t AS first_seen, t AS last_seen, severity AS severity_max,
+  entity_id AS entity_key, [event_id] AS members, CASE WHEN truth_id IS NOT NULL THEN [truth_id] ELSE [] END AS truth_ids, CASE WHEN run_id IS NOT NULL THEN [run_id] ELSE [] END AS run_ids, t AS first_seen, t AS last_seen, severity AS severity_max,
   score AS score_max, 1 AS grp FROM c WHERE confidence >= 0.6 OR severity >= 0.5 OR score >= 0.5"""
 _D = f"""{_W}, fh AS ({_cand('h')}), sd AS ({_SEEDS}), dv AS (SELECT * FROM fh UNION ALL SELECT * FROM sd),
 d AS (SELECT *, CASE WHEN severity_max >= 0.5 OR score_max >= 0.6 THEN 'escalated' WHEN len(members) >= 2 AND confidence >= 0.3 THEN 'merged' ELSE 'new' END AS status,
