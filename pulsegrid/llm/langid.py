@@ -81,7 +81,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     """Spherical k-means from spread-out starts; deterministic."""
-    centres = x[:1]
+    centres = x[:1].copy()
     while len(centres) < min(k, len(x)):
         centres = np.vstack([centres, x[np.argmin((x @ centres.T).max(axis=1))]])
     for _ in range(ROUNDS):
