@@ -3,8 +3,9 @@
 A set of n-grams is a point: the numbers of its members in groups of hashes, finer groups for larger sets. The overlap
 of two sets is at most the sum of their coordinates' minima, and of a set with anything in a box at most the sum of its
 minima with the box's upper corner, so an R-tree search follows only boxes that can reach the overlap a link needs.
-Boxes are of points folded to fewer groups; what a search finds is held against the bound by all groups. Pairs that are
-left are verified on the sets themselves.
+Boxes are of points folded to fewer groups; what a search finds is held against the bound by all groups. Texts of the
+points that are left are sent to the same trees, and their pairs are verified on the sets themselves, so that no pair leaves
+a task unless it is a link.
 
 Points are dealt to trees by n-grams that a link must share: sets of similarity t share one of the n - ceil(tn) + 1 members
 of each that have the smallest hashes. First, trees of the few smallest alone link copies to each other, star by star,
@@ -32,8 +33,8 @@ WORDS, PERCENT = 4, 85
 FIRST = 6
 #: Points of a tree's leaf, children of a box, groups of a point that are one coordinate of a box.
 LEAF, FAN, FOLD = 32, 16, 8
-#: Sets, and members of sets, that a block holds: members of the first trees (8 bytes each), of others (a byte each).
-BLOCK, MEMBERS, COUNTED = 4096, 1_000_000, 16_000_000
+#: Sets, and members of sets (8 bytes each), that a block of the first trees and of the others holds.
+BLOCK, MEMBERS, COUNTED = 4096, 1_000_000, 2_000_000
 #: Rows (some 40 bytes each) that are broadcast after counting; with more, both sides are shuffled.
 ROWS = 1_000_000
 #: Cells of a step of the search; few enough to stay in a core's cache.
@@ -57,8 +58,15 @@ def point(members: np.ndarray) -> np.ndarray:
     return counts.astype("u1" if counts.max(initial=0) < 256 else "<u2")
 
 
+def packed(own: np.ndarray) -> bytes:
+    """A point as half a byte a group if its numbers fit, else as it is."""
+    return (own[::2] | own[1::2] << 4).tobytes() if own.max(initial=0) < 16 else own.tobytes()
+
+
 def unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "u1" if len(raw) == groups(n) else "<u2")
+    g = groups(n)
+    own = np.frombuffer(raw, "<u2" if len(raw) == 2 * g else "u1")
+    return np.stack([own & 15, own >> 4], axis=1).ravel() if 2 * len(raw) == g else own
 
 
 def folded(points: np.ndarray, width: int) -> np.ndarray:
@@ -212,9 +220,9 @@ def candidates(
 
 
 def in_leaves(
-    key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, points: list[np.ndarray], side: np.ndarray, percent: int = PERCENT
+    key: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, points: list[np.ndarray], side: np.ndarray, percent: int = PERCENT
 ) -> np.ndarray:
-    """``candidates`` of many keys (in order) of few points each, all at once."""
+    """``candidates`` of many keys (in order) of few points each, all at once, as pairs of rows."""
     coarse = np.zeros((len(n), 64), "<u4")
     width = np.array([len(p) for p in points])
     for g in np.unique(width):
@@ -235,25 +243,29 @@ def in_leaves(
         g = min(len(points[i]), len(points[j]))
         p, q = (folded(points[k][None, :], g)[0] for k in (i, j))
         if np.minimum(p, q).sum(dtype=np.int64) >= most:
-            out.append((max(node[i], node[j]), min(node[i], node[j])))
+            out.append((i, j))
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+#: What a block knows of a set besides its point.
+_ROW = ["key", "node", "comp", "n", "place", "side"]
+
+
 def _searched(percent: int):
-    """For mapInArrow over rows of blocks sorted by key: their candidates."""
+    """For mapInArrow over rows of blocks sorted by key: those that have a candidate, without their points."""
 
-    def of(rows: pa.RecordBatch) -> np.ndarray:
+    def of(rows: pa.RecordBatch) -> pa.RecordBatch:
         key, node, comp, n, place, side = (rows[c].to_numpy() for c in ("key", "node", "comp", "n", "place", "side"))
-        place = place.astype(np.int64)
+        place, met = place.astype(np.int64), np.zeros(len(rows), bool)
         points = [unpacked(x, size) for x, size in zip(rows["point"].to_pylist(), n.tolist(), strict=True)]
         cuts = np.append(np.nonzero(np.append(True, key[1:] != key[:-1]))[0], len(key))
-        m, found = np.diff(cuts), []
+        m = np.diff(cuts)
         for a, b in zip(cuts[:-1][m > 2 * LEAF].tolist(), cuts[1:][m > 2 * LEAF].tolist(), strict=True):
-            found.append(candidates(node[a:b], comp[a:b], n[a:b], place[a:b], points[a:b], side[a:b], percent))
+            met[a:b] = np.isin(node[a:b], candidates(node[a:b], comp[a:b], n[a:b], place[a:b], points[a:b], side[a:b], percent))
         few = np.nonzero(np.repeat((m > 1) & (m <= 2 * LEAF), m))[0]
         if len(few):
-            found.append(in_leaves(key[few], node[few], comp[few], n[few], place[few], [points[i] for i in few], side[few], percent))
-        return np.concatenate([np.zeros((0, 2), np.int64), *found])
+            met[few[in_leaves(key[few], comp[few], n[few], place[few], [points[i] for i in few], side[few], percent).ravel()]] = True
+        return rows.select(_ROW).filter(pa.array(met))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -269,11 +281,9 @@ def _searched(percent: int):
             rows = pa.concat_batches([*held, b.slice(0, at)])
             held = [b.slice(at)]
             if len(rows):
-                out = of(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+                yield of(rows)
         if held:
-            out = of(pa.concat_batches(held))
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+            yield of(pa.concat_batches(held))
 
     return run
 
@@ -287,22 +297,13 @@ def _marked(words: int, percent: int):
                 n.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 tokens.append(own[: prefix(len(own), percent)].view(np.int64) if len(own) else None)
-                points.append(point(own).tobytes() if len(own) else None)
+                points.append(packed(point(own)) if len(own) else None)
             added = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(points, pa.binary())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], *added], names=["doc_id", "text", "n", "digest", "tokens", "point"])
 
     return run
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingles(t, words)).tobytes() for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array(sets, pa.binary())], names=["node", "set"])
-
-    return run
-
-
 def _small(df: DataFrame, rows: int = ROWS) -> DataFrame:
     """A written table, broadcast if it is small enough."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -318,19 +319,17 @@ def close_copies(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -
     members = written(nodes.select("node", "n", F.explode(F.slice("tokens", 1, FIRST)).alias("key")), "smallest")
     keys = members.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"), *_nodes_of()).where("m > 1")
     keys = written(keys.groupBy("m", "n", "s0", "s1").agg(F.min("key").alias("key")), "keys")  # keys of the same nodes once
-    keys = keys.withColumn("parts", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / MEMBERS)))
+    parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / MEMBERS)).alias("parts")
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    held = members.join(keys.select("key", "parts"), "key").select("node", F.xxhash64("key", part).alias("key"))
+    held = members.join(keys.select("key", parts), "key").select("node", F.xxhash64("key", part).alias("key"))
     held = written(held, "held")
-    some = _small(written(held.select("node").distinct(), "some"))
-    sets = texts.join(some, "node", "left_semi").mapInArrow(_sets(words), "node long, set binary")
-    dealt = held.join(sets, "node").repartition("key").sortWithinPartitions("key")
+    dealt = texts.join(_small(held), "node").repartition("key").sortWithinPartitions("key")
 
-    def found(node: pa.Array, own: pa.Array) -> list[tuple[int, int]]:
-        return stars(node.to_numpy(), [np.frombuffer(x, "<u8") for x in own.to_pylist()], percent)
+    def found(node: pa.Array, text: pa.Array) -> list[tuple[int, int]]:
+        return stars(node.to_numpy(), [np.unique(shingles(t, words)) for t in text.to_pylist()], percent)
 
-    out = written(dealt.mapInArrow(by_key(["node", "set"], found), "a long, b long"), "stars")
-    discard(members, held)
+    out = written(dealt.mapInArrow(by_key(["node", "text"], found), "a long, b long"), "stars")
+    discard(members, keys, held)
     return out
 
 
@@ -385,22 +384,18 @@ def across(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     points = nodes.select("node", "comp", "n", "point").join(some, "node", "left_semi")
 
     dealt = blocks.join(points, "node").repartition("key").sortWithinPartitions("key")
-    pairs = written(dealt.mapInArrow(_searched(percent), "a long, b long").distinct(), "pairs")
-    ends = _small(written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"))
-    sets = written(texts.join(ends, "node", "left_semi").mapInArrow(_sets(words), "node long, set binary"), "sets")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = (np.frombuffer(s.as_py(), "<u8") for s in (x, y))
-                keep.append(bool(reach(np.int64(overlap(x, y)), len(x), len(y), percent)))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    out = written(both.mapInArrow(verified, "a long, b long"), "verified")
-    discard(held, blocks, pairs, sets)
+    hits = written(dealt.mapInArrow(_searched(percent), "key long, node long, comp long, n long, place int, side int"), "hits")
+    dealt = texts.join(_small(hits), "node").repartition("key").sortWithinPartitions("key")
+
+    def found(node: pa.Array, comp: pa.Array, n: pa.Array, place: pa.Array, side: pa.Array, text: pa.Array) -> list[np.ndarray]:
+        node, comp, n, place, side = (x.to_numpy() for x in (node, comp, n, place, side))
+        sets = dict(zip(node.tolist(), (np.unique(shingles(t, words)) for t in text.to_pylist()), strict=True))
+        pairs = candidates(node, comp, n, place.astype(np.int64), [point(sets[k]) for k in node.tolist()], side, percent)
+        linked = [reach(np.int64(overlap(x, y)), len(x), len(y), percent) for x, y in ((sets[a], sets[b]) for a, b in pairs.tolist())]
+        return pairs[np.array(linked, bool)]
+
+    out = written(dealt.mapInArrow(by_key(["node", "comp", "n", "place", "side", "text"], found), "a long, b long").distinct(), "verified")
+    discard(held, blocks, hits)
     return out
 
 
