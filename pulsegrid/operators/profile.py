@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import severity_level
+from ..plans import bank
 from ..plans import detectors as det
 from ..plans.fold import keyed_fold
 
@@ -19,7 +20,13 @@ def outputs(events: DataFrame, key: str = "entity", unique_id: str = "entity", c
     Columns to ``carry`` come along, so that nothing is joined back. scores, expected and confidences are arrays by detector id, null where it is silent.
     """
     rows = events.withColumn("_uid", F.expr(unique_id))
-    return keyed_fold(rows, lambda: det.Profile(config), det.Profile.step, det.FIELDS, key, ("t_ns", "_uid", "value"), carry)
+
+    def ahead(values: list[list[float]]) -> list[det.Profile]:
+        made = [det.Profile(config) for _ in values]
+        bank.foretold([p.rrcf for p in made], values)
+        return made
+
+    return keyed_fold(rows, lambda: det.Profile(config), det.Profile.step, det.FIELDS, key, ("t_ns", "_uid", "value"), carry, ahead)
 
 
 def one_detector(events: DataFrame, make, key: str = "entity", unique_id: str = "entity", warmup: int = 100) -> DataFrame:

@@ -614,6 +614,10 @@ class Profile:
         self.weights, self.quantile, self.limit = weights, Quantile(), 0.5
         self.n, self.sum, self.squares, self.last, self.rate = 0, 0.0, 0.0, None, Ewma(100)
 
+    @property
+    def rrcf(self) -> Rrcf:
+        return self.detectors[6]
+
     def reset(self) -> None:
         """Zero counts and ensemble; the detectors keep what they know."""
         self.n, self.sum, self.squares, self.last, self.rate = 0, 0.0, 0.0, None, Ewma(100)

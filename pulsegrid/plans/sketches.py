@@ -26,7 +26,8 @@ class Distinct:
     def __init__(self, p: int = 12, registers: bytes | None = None):
         self.p = min(max(p, 4), 16)
         self.registers = bytearray(registers or 1 << self.p)
-        self.empty, self.sum = self.registers.count(0), sum(2.0**-r for r in self.registers)
+        empty = not registers  # all ones: told apart, as every id's habits begin with two of these
+        self.empty, self.sum = self.registers.count(0), float(1 << self.p) if empty else sum(2.0**-r for r in self.registers)
 
     def add(self, value) -> None:
         h, rest = hashed(value), 64 - self.p

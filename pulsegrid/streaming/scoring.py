@@ -21,6 +21,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import _parse_datatype_string
 
 from ..plans.detectors import FIELDS, Config
+from ..plans.bank import foretold
+from ..plans.fold import dealt, runs, whole_keys
 from ..plans.learner import Scoring
 
 #: Rows of the loop: feedback (kind 0) has scores, decision and truth; events (kind 1) have uid and value.
@@ -58,11 +60,18 @@ def replayed(rows: DataFrame, config: Config | None = None, every: int = 100) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, held, at = object(), None, [], None
-        for b in batches:
+        for b, more in whole_keys(batches, "entity"):
             out: list[tuple] = []
-            for r in b.to_pylist():
+            rows_ = b.to_pylist()
+            new: list[Scoring] = []
+            if not more:  # entities that begin and end here start together
+                parts = [rows_[i:j] for i, j in runs([r["entity"] for r in rows_]) if rows_[i]["entity"] != key]
+                new = [Scoring(config, every) for _ in parts]
+                foretold([s.profile.rrcf for s in new], [[r["value"] for r in p if r["kind"]] for p in parts])
+            begin = iter(new)
+            for r in rows_:
                 if r["entity"] != key:
-                    key, state, held = r["entity"], Scoring(config, every), []
+                    key, state, held = r["entity"], next(begin, None) or Scoring(config, every), []
                 if held and (r["kind"] or r["round"] != at):
                     state.feedback(held)
                     held = []
@@ -74,7 +83,7 @@ def replayed(rows: DataFrame, config: Config | None = None, every: int = 100) ->
             cols = list(zip(*out, strict=True)) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    ordered = rows.repartition("entity").sortWithinPartitions("entity", "round", "kind", "t_ns", "event_id")
+    ordered = dealt(rows, "entity").sortWithinPartitions("entity", "round", "kind", "t_ns", "event_id")
     return ordered.mapInArrow(run, OUT)
 
 
