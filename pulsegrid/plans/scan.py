@@ -1,9 +1,10 @@
 """Folds of a key with very many events, by blocks side by side: a prefix scan.
 
 An exponentially weighted mean and variance move by an affine map of (mean, mean squared, variance) at each event. Maps
-compose, so each block of a hot key's time gives one map, the maps of a key's blocks are applied one after the other, and
-then every block is replayed from the state that it begins with. Events travel twice for hot keys, once for others, and no
-task holds more than a block.
+compose, so each block of a hot key's time gives one map, and the maps of a key's blocks are applied one after the other.
+States found so are rounded otherwise than the fold's, but the fold forgets: blocks replayed from them mostly end with the
+fold's very bits. Blocks whose predecessor ends otherwise than they begin are replayed from its end until there are none,
+so what comes out is the fold's, bit for bit. No task holds more than a batch.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Events of a key beyond which it is cut into blocks, and the number of blocks.
@@ -55,9 +56,9 @@ def ewma(
 ) -> DataFrame:
     """``fold.ewma`` (event_id, mean, std, threshold) with hot keys spread over tasks.
 
-    Keys of more than ``hot`` events are cut at quantiles of their times; events of one time stay together. States that
-    blocks begin with come from composed maps, so last digits may differ from the fold's. Events without a value get nulls
-    and leave the state alone; events with a null key share one.
+    Keys of more than ``hot`` events are cut at quantiles of their times; events of one time stay together. States are the
+    fold's, bit for bit. Events without a value get nulls and leave the state alone; events with a null key share one.
+    What blocks begin with is found at once, not when the result is read.
     """
     alpha = 1 - math.exp(-math.log(2) / half_life)
     kind = dict(events.selectExpr(f"{key} AS k").dtypes)["k"]
@@ -65,6 +66,7 @@ def ewma(
     some = rows.where("value IS NOT NULL")
     counted = some.groupBy("_key").agg(F.count("*").alias("n"), F.avg("value").alias("_centre"), F.percentile_approx("t", [i / blocks for i in range(1, blocks)], 10_000).alias("_cuts"))
     crowded = counted.where(F.col("n") > hot).select(F.col("_key").alias("_hot"), "_centre", F.array_distinct("_cuts").alias("_cuts"))
+    crowded = crowded.localCheckpoint()  # quantiles of many rows differ from run to run, and all that follows must cut alike
     placed = rows.join(crowded, F.col("_key").eqNullSafe(F.col("_hot")), "left")
     placed = placed.withColumn("_block", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("t")))))
     placed = placed.select("_key", "_block", "t", "event_id", "value", "_centre")
@@ -105,10 +107,46 @@ def ewma(
                 state = np.array(s) if state is None else np.array(m).reshape(4, 4) @ state
             yield pa.RecordBatch.from_arrays([b["_key"], b["_block"], pa.array(mean, pa.float64()), pa.array(var, pa.float64())], names=["_k", "_b", "_mean", "_var"])
 
-    hot_rows = placed.where("_centre IS NOT NULL AND value IS NOT NULL").repartition("_key", "_block").sortWithinPartitions(*sort)
-    summary = hot_rows.mapInArrow(maps, f"_key {kind}, _block int, centre double, map array<double>, begun array<double>")
+    hot_rows = placed.where("_centre IS NOT NULL AND value IS NOT NULL")
+    summary = hot_rows.repartition("_key", "_block").sortWithinPartitions(*sort).mapInArrow(maps, f"_key {kind}, _block int, centre double, map array<double>, begun array<double>")
     begin = summary.repartition("_key").sortWithinPartitions("_key", "_block").mapInArrow(states, f"_k {kind}, _b int, _mean double, _var double")
-    begin = begin.where("_mean IS NOT NULL")
+
+    def stepped(mean: float | None, var: float, x: float) -> tuple[float, float]:
+        if mean is None:
+            return x, 0.0
+        d = x - mean
+        return mean + alpha * d, (1 - alpha) * (var + alpha * d * d)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Mean and variance that each block ends with, beside those that it begins with."""
+        now, row, out = None, [], []
+        for at, b in _runs(batches):
+            if at != now:
+                now, row = at, [*at, b["_mean"][0].as_py(), b["_var"][0].as_py(), b["_mean"][0].as_py(), b["_var"][0].as_py() or 0.0]
+                out.append(row)
+            mean, var = row[4:]
+            for x in b["value"].to_pylist():
+                mean, var = stepped(mean, var, x)
+            row[4:], type_ = (mean, var), b["_key"].type
+        if out:
+            cols = zip(zip(*out, strict=True), (type_, pa.int32(), *[pa.float64()] * 4), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in cols], names=["_k", "_b", "_mean", "_var", "mean", "var"])
+
+    def ended(begin: DataFrame) -> DataFrame:
+        rows = hot_rows.join(begin, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b"))).select(*sort, "value", "_mean", "_var")
+        rows = rows.repartition("_key", "_block").sortWithinPartitions(*sort)
+        return rows.mapInArrow(ends, f"_k {kind}, _b int, _mean double, _var double, mean double, var double")
+
+    found = ended(begin).localCheckpoint()
+    while True:
+        before = Window.partitionBy("_k").orderBy("_b")
+        moved = found.withColumn("_m", F.lag("mean").over(before)).withColumn("_v", F.lag("var").over(before))
+        moved = moved.withColumn("_same", F.col("_mean").eqNullSafe(F.col("_m")) & F.col("_var").eqNullSafe(F.col("_v"))).localCheckpoint()
+        again = moved.where("NOT _same").select("_k", "_b", F.col("_m").alias("_mean"), F.col("_v").alias("_var"))
+        if again.isEmpty():
+            break
+        found = moved.where("_same").select(*found.columns).unionByName(ended(again)).localCheckpoint()
+    begin = found.where("_mean IS NOT NULL").select("_k", "_b", "_mean", "_var")
     joined = placed.join(begin, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")), "left").drop("_k", "_b", "_centre")
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +160,7 @@ def ewma(
                     out.append((None, None, None))
                     continue
                 limit = None if mean is None else min(max(mean + k * max(math.sqrt(var), 0.001), low), high)
-                if mean is None:
-                    mean, var = x, 0.0
-                else:
-                    d = x - mean
-                    mean += alpha * d
-                    var = (1 - alpha) * (var + alpha * d * d)
+                mean, var = stepped(mean, var, x)
                 out.append((mean, math.sqrt(var), limit))
             cols = [pa.array(list(c), pa.float64()) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([b["event_id"], *cols], names=["event_id", "mean", "std", "threshold"])

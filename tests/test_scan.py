@@ -25,6 +25,15 @@ def test_blocks_give_the_folds_states(spark, hot):
             assert a == b if a is None or b is None else math.isclose(a, b, rel_tol=1e-7, abs_tol=1e-5), (x, want[x.event_id])
 
 
+@pytest.mark.parametrize("blocks", [3, 40])
+def test_blocks_give_the_very_bits_of_the_fold(spark, blocks):
+    r = random.Random(7)
+    rows = [(i, i % 2, i // 3, None if i % 50 == 0 else round(r.lognormvariate(3, 1), 2)) for i in range(12_000)]
+    e = spark.createDataFrame(rows, E).repartition(3)
+    want = sorted(tuple(x) for x in fold.ewma(e).collect())
+    assert sorted(tuple(x) for x in scan.ewma(e, hot=100, blocks=blocks).collect()) == want
+
+
 def test_one_key_fills_many_tasks(spark):
     e = spark.range(20_000).selectExpr("id AS event_id", "1L AS entity", "id AS t", "sin(id) * 100 AS value")
     dealt = scan.ewma(e, hot=1000, blocks=16)
