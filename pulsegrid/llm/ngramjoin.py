@@ -4,7 +4,7 @@ A set of n-grams is a point: the numbers of its members in groups of hashes, fin
 of two sets is at most the sum of their coordinates' minima, and of a set with anything in a box at most the sum of its
 minima with the box's upper corner, so an R-tree search follows only boxes that can reach the overlap a link needs.
 Boxes are of points folded to fewer groups; what a search finds is held against the bound by all groups. Texts of the
-points that are left are sent to the same trees, and their pairs are verified on the sets themselves, so that no pair leaves
+points that are left are sent to the same trees (of trees with the same points to one), and their pairs are verified on the sets themselves, so that no pair leaves
 a task unless it is a link.
 
 Points are dealt to trees by n-grams that a link must share: sets of similarity t share one of the n - ceil(tn) + 1 members
@@ -288,6 +288,16 @@ def _searched(percent: int):
     return run
 
 
+def zipped(text: str | None) -> bytes:
+    """A text to travel: its length and its bytes by zstd."""
+    raw = (text or "").encode("utf-8", "replace")
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unzipped(raw: bytes) -> str:
+    return pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True).decode()
+
+
 def _marked(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,8 +308,9 @@ def _marked(words: int, percent: int):
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 tokens.append(own[: prefix(len(own), percent)].view(np.int64) if len(own) else None)
                 points.append(packed(point(own)) if len(own) else None)
-            added = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(points, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], *added], names=["doc_id", "text", "n", "digest", "tokens", "point"])
+            texts = pa.array(map(zipped, b["text"].to_pylist()), pa.binary())
+            added = [texts, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(points, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *added], names=["doc_id", "text", "n", "digest", "tokens", "point"])
 
     return run
 
@@ -309,9 +320,9 @@ def _small(df: DataFrame, rows: int = ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _nodes_of() -> list[Column]:
-    """Sums that tell which nodes (and places, where there are) a key has."""
-    return [F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
+def _nodes_of(*more: str) -> list[Column]:
+    """Sums that tell which nodes (and what more of them) a key has."""
+    return [F.sum(F.xxhash64(F.lit(i), "node", *more).cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
 
 
 def close_copies(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -326,7 +337,7 @@ def close_copies(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -
     dealt = texts.join(_small(held), "node").repartition("key").sortWithinPartitions("key")
 
     def found(node: pa.Array, text: pa.Array) -> list[tuple[int, int]]:
-        return stars(node.to_numpy(), [np.unique(shingles(t, words)) for t in text.to_pylist()], percent)
+        return stars(node.to_numpy(), [np.unique(shingles(unzipped(t), words)) for t in text.to_pylist()], percent)
 
     out = written(dealt.mapInArrow(by_key(["node", "text"], found), "a long, b long"), "stars")
     discard(members, keys, held)
@@ -349,13 +360,14 @@ def _blocks(held: DataFrame, percent: int) -> DataFrame:
     each = light.select("node", "comp", "n", "place", F.explode(both).alias("x")).select("node", "comp", "n", "place", "x.*")
     # The smaller set of a pair must have its first member in common among so few.
     early = F.col("place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
-    signed = [F.sum(F.xxhash64(F.lit(i), "node", "place").cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
     live = each.groupBy("key").agg(
-        F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("side").alias("own"), F.min(F.when(early, F.col("n"))).alias("least"), *signed
+        F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("side").alias("own"), F.min(F.when(early, F.col("n"))).alias("least"), *_nodes_of()
     )
     live = live.where("m > 1 AND c0 != c1 AND own = 2 AND least IS NOT NULL")
-    live = written(live.groupBy("m", "s0", "s1").agg(F.min_by(F.struct("key", "least"), "key").alias("k")).select("k.*"), "live")  # equal ones once
-    light = each.join(_small(live), "key").where(early | (F.col("n") >= F.col("least"))).select("node", "place", "key", "side")
+    live = live.groupBy("m", "s0", "s1").agg(F.min_by(F.struct("key", "least"), "key").alias("k"), (F.count("*") > 1).alias("many"))
+    live = written(live.select("k.*", "many"), "live")  # keys of the same nodes once, and for all of them: places no longer tell
+    light = each.join(_small(live), "key").where(F.col("many") | early | (F.col("n") >= F.col("least")))
+    light = light.select("node", F.when(F.col("many"), 0).otherwise(F.col("place")).alias("place"), "key", "side")
     if not crowded:
         return light
     rows = held.join(_small(large), "key")
@@ -385,17 +397,20 @@ def across(nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     dealt = blocks.join(points, "node").repartition("key").sortWithinPartitions("key")
     hits = written(dealt.mapInArrow(_searched(percent), "key long, node long, comp long, n long, place int, side int"), "hits")
-    dealt = texts.join(_small(hits), "node").repartition("key").sortWithinPartitions("key")
+    same = hits.groupBy("key").agg(F.count("*").alias("m"), *_nodes_of("side")).groupBy("m", "s0", "s1").agg(F.min("key").alias("key"), (F.count("*") > 1).alias("many"))
+    once = hits.join(_small(written(same.select("key", "many"), "once")), "key")  # pairs that many keys found travel once
+    once = written(once.withColumn("place", F.when(F.col("many"), 0).otherwise(F.col("place"))).drop("many"), "kept")
+    dealt = texts.join(_small(once), "node").repartition("key").sortWithinPartitions("key")
 
     def found(node: pa.Array, comp: pa.Array, n: pa.Array, place: pa.Array, side: pa.Array, text: pa.Array) -> list[np.ndarray]:
         node, comp, n, place, side = (x.to_numpy() for x in (node, comp, n, place, side))
-        sets = dict(zip(node.tolist(), (np.unique(shingles(t, words)) for t in text.to_pylist()), strict=True))
+        sets = dict(zip(node.tolist(), (np.unique(shingles(unzipped(t), words)) for t in text.to_pylist()), strict=True))
         pairs = candidates(node, comp, n, place.astype(np.int64), [point(sets[k]) for k in node.tolist()], side, percent)
         linked = [reach(np.int64(overlap(x, y)), len(x), len(y), percent) for x, y in ((sets[a], sets[b]) for a, b in pairs.tolist())]
         return pairs[np.array(linked, bool)]
 
     out = written(dealt.mapInArrow(by_key(["node", "comp", "n", "place", "side", "text"], found), "a long, b long").distinct(), "verified")
-    discard(held, blocks, hits)
+    discard(held, blocks, hits, once)
     return out
 
 
@@ -409,7 +424,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     columns are ignored, whatever their names.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, text string, n long, digest binary, tokens array<long>, point binary"
+    schema = f"doc_id {kind}, text binary, n long, digest binary, tokens array<long>, point binary"
     marked = docs.select("doc_id", "text").mapInArrow(_marked(words, percent), schema).withColumn("row", F.monotonically_increasing_id())
     marked = written(marked, "marked")
     named = written(marked.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "named")

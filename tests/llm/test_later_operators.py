@@ -300,3 +300,12 @@ def test_near_dedup_of_cut_shards(spark, monkeypatch, most):
             root = [new if r == old else r for r in root]
     got = simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id for r in got.collect()} == set(root)
+
+
+def test_keys_of_the_same_sets_travel_once(spark):
+    rows = [(k, node, node, 100, (k + node) % 5, 30) for k in range(5) for node in (1, 2)] + [(9, node, node, 100, 1, 30) for node in (1, 2, 3)]
+    held = spark.createDataFrame(rows, "key long, node long, comp long, n long, place int, band int")
+    got = sorted((r.node, r.place) for r in ngramjoin._blocks(held, 85).collect())
+    assert got == [(1, 0), (1, 1), (2, 0), (2, 1), (3, 1)]
+    text = "Año nuevo\n\t" * 50
+    assert ngramjoin.unzipped(ngramjoin.zipped(text)) == text and len(ngramjoin.zipped(text)) < 100 and ngramjoin.unzipped(ngramjoin.zipped(None)) == ""
