@@ -40,6 +40,11 @@ def ewma_maps(x: np.ndarray, alpha: float) -> np.ndarray:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` worked out once: in the session's checkpoint folder, or where there is none, with the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Parts of the batches with one (_key, _block) each, in order."""
     for b in batches:
@@ -66,7 +71,7 @@ def ewma(
     some = rows.where("value IS NOT NULL")
     counted = some.groupBy("_key").agg(F.count("*").alias("n"), F.avg("value").alias("_centre"), F.percentile_approx("t", [i / blocks for i in range(1, blocks)], 10_000).alias("_cuts"))
     crowded = counted.where(F.col("n") > hot).select(F.col("_key").alias("_hot"), "_centre", F.array_distinct("_cuts").alias("_cuts"))
-    crowded = crowded.localCheckpoint()  # quantiles of many rows differ from run to run, and all that follows must cut alike
+    crowded = kept(crowded)  # quantiles of many rows differ from run to run, and all that follows must cut alike
     placed = rows.join(crowded, F.col("_key").eqNullSafe(F.col("_hot")), "left")
     placed = placed.withColumn("_block", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("t")))))
     placed = placed.select("_key", "_block", "t", "event_id", "value", "_centre")
@@ -137,15 +142,15 @@ def ewma(
         rows = rows.repartition("_key", "_block").sortWithinPartitions(*sort)
         return rows.mapInArrow(ends, f"_k {kind}, _b int, _mean double, _var double, mean double, var double")
 
-    found = ended(begin).localCheckpoint()
+    found = kept(ended(begin))
     while True:
         before = Window.partitionBy("_k").orderBy("_b")
         moved = found.withColumn("_m", F.lag("mean").over(before)).withColumn("_v", F.lag("var").over(before))
-        moved = moved.withColumn("_same", F.col("_mean").eqNullSafe(F.col("_m")) & F.col("_var").eqNullSafe(F.col("_v"))).localCheckpoint()
+        moved = kept(moved.withColumn("_same", F.col("_mean").eqNullSafe(F.col("_m")) & F.col("_var").eqNullSafe(F.col("_v"))))
         again = moved.where("NOT _same").select("_k", "_b", F.col("_m").alias("_mean"), F.col("_v").alias("_var"))
         if again.isEmpty():
             break
-        found = moved.where("_same").select(*found.columns).unionByName(ended(again)).localCheckpoint()
+        found = kept(moved.where("_same").select(*found.columns).unionByName(ended(again)))
     begin = found.where("_mean IS NOT NULL").select("_k", "_b", "_mean", "_var")
     joined = placed.join(begin, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")), "left").drop("_k", "_b", "_centre")
 
