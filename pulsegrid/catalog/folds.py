@@ -227,7 +227,7 @@ QUERIES = {
     "burst": _detector(det.Burst),
     "spectral": _detector(det.Spectral),
     "change_point": _detector(det.ChangePoint),
-    "rrcf": _detector(det.Rrcf),
+    "rrcf": lambda s, d: _round(prof.forest_detector(events(s, d), GROUP), "score", "expected", "confidence"),
     "multi_scale": _detector(det.MultiScale),
     "behavioral": _detector(det.Behavioral),
     "drift": _detector(det.Drift),

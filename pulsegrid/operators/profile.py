@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import severity_level
-from ..plans import bank
+from ..plans import bank, grove
 from ..plans import detectors as det
 from ..plans.fold import keyed_fold
 
@@ -43,6 +43,20 @@ def one_detector(events: DataFrame, make, key: str = "entity", unique_id: str =
     return found.where("score IS NOT NULL")
 
 
+def forest_detector(events: DataFrame, key: str = "entity") -> DataFrame:
+    """``one_detector`` for the forest, for keys of many events: each tree is worked on by itself."""
+
+    def judge(d: det.Rrcf, raw: float | None) -> tuple:
+        return d.judge(raw) or (None,) * 3
+
+    one = det.Rrcf()
+    cuts = one.forest.forest
+    found = grove.forest_fold(
+        events, det.Rrcf, judge, "score double, expected double, confidence double", key, shingle=one.last.maxlen, trees=cuts.trees, size=cuts.size, seed=cuts.seed
+    )
+    return found.where("score IS NOT NULL")
+
+
 def detector_scores(scores: Column, confidences: Column, expected: Column, observed: Column) -> Column:
     """An array of (score, confidence, fired, expected, observed) by detector; a silent one has zeros."""
     zero = F.lit(0.0)

@@ -340,7 +340,14 @@ class Rrcf:
         self.n += 1
         if len(self.last) < self.last.maxlen:
             return None
-        score, odd = self.forest.update(self.last)
+        return self._answer(*self.forest.update(self.last))
+
+    def judge(self, raw: float | None) -> Answer:
+        """The answer to a value whose shingle's displacement is known (none: no shingle yet)."""
+        self.n += 1
+        return None if raw is None else self._answer(*self.forest.judge(raw))
+
+    def _answer(self, score: float, odd: bool) -> Answer:
         return (score, 0.0, min(0.9 * score, 0.95)) if self.n > 20 and odd and score > 0.4 else None
 
 

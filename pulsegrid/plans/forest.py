@@ -36,8 +36,8 @@ def draws(seed, tree, sequence, depth) -> np.ndarray:
 class CutForest:
     """``displacement`` and ``add`` for points of one length; leaves count equal points."""
 
-    def __init__(self, trees: int = 10, size: int = 128, seed: int = 0):
-        self.trees, self.size, self.seed, self.sequence = trees, size, seed, 0
+    def __init__(self, trees: int = 10, size: int = 128, seed: int = 0, first: int = 0):
+        self.trees, self.size, self.seed, self.sequence, self.first = trees, size, seed, 0, first
         self.lo = None
 
     def _start(self, width: int) -> None:
@@ -89,7 +89,7 @@ class CutForest:
 
         tree = np.repeat(np.arange(self.trees), sizes)
         ends = span.cumsum(axis=1)
-        r = draws(self.seed, tree, self.sequence, np.arange(len(nodes)) - np.repeat(first, sizes)) * ends[:, -1]
+        r = draws(self.seed, self.first + tree, self.sequence, np.arange(len(nodes)) - np.repeat(first, sizes)) * ends[:, -1]
         row, k = np.arange(len(nodes)), np.minimum((ends <= r[:, None]).sum(axis=1), len(point) - 1)
         cut = low[row, k] + (r - (ends[row, k] - span[row, k]))
         below = (p[k] <= cut) & (cut < lo[row, k])
@@ -192,7 +192,10 @@ class Forest:
 
     def update(self, point) -> tuple[float, bool]:
         """Score 0 to 1 and whether it is an anomaly; the first ten points score 0."""
-        raw = self.forest.add([float(x) for x in point])
+        return self.judge(self.forest.add([float(x) for x in point]))
+
+    def judge(self, raw: float) -> tuple[float, bool]:
+        """The same for a point whose displacement is known."""
         self.n += 1
         self.usual = raw if self.usual is None else self.usual + 0.01 * (raw - self.usual)
         if self.n <= self.SETTLED or self.usual <= 0.01:
