@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import profile as prof
 from ..operators import sketches as sk
 from ..plans import detectors as det
-from ..plans import fold, scan, steps
+from ..plans import fold, grove, scan, steps
 from ..sources.events import events
 from ..streaming import scoring
 from .common import numbered, real, recursion, EVENTS
@@ -217,7 +217,7 @@ QUERIES = {
     "distinct_sketches": lambda s, d: _round(sk.estimates(sk.registers(events(s, d), "detector", "entity", 10), "detector", 10), "distinct"),
     "scoring_loop": _loop,
     "quantile_markers": _stepped(steps.quantile(), "quantile", key=GROUP),
-    "forest": _stepped(steps.forest(10), "score", key=GROUP),
+    "forest": lambda s, d: _round(grove.scores(events(s, d), GROUP, shingle=10), "score"),
     "forest_points": lambda s, d: fold.keyed_fold(
         events(s, d).withColumn("point", F.array("value", F.col("trace_id").cast("double"), (F.col("t") % 86400).cast("double"))), dict, *steps.forest(), key=GROUP, columns=("t", "point")
     ),
