@@ -218,9 +218,7 @@ QUERIES = {
     "scoring_loop": _loop,
     "quantile_markers": _stepped(steps.quantile(), "quantile", key=GROUP),
     "forest": lambda s, d: _round(grove.scores(events(s, d), GROUP, shingle=10), "score"),
-    "forest_points": lambda s, d: fold.keyed_fold(
-        events(s, d).withColumn("point", F.array("value", F.col("trace_id").cast("double"), (F.col("t") % 86400).cast("double"))), dict, *steps.forest(), key=GROUP, columns=("t", "point")
-    ),
+    "forest_points": lambda s, d: grove.scores(events(s, d), GROUP, "array(value, CAST(trace_id AS double), CAST(t % 86400 AS double))", 3),
     "volume": _detector(lambda: det.Volume(_C)),
     "distribution": _detector(lambda: det.Distribution(_C)),
     "cardinality": lambda s, d: _round(prof.one_detector(events(s, d), det.Cardinality, GROUP, "trace_id"), "score", "expected", "confidence"),
