@@ -9,6 +9,7 @@ over the table and one small sum. Codebooks are few numbers, whatever the input.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +69,8 @@ def sums(vecs: np.ndarray, codes: np.ndarray, entries: int) -> np.ndarray:
 
 
 def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    ends = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32) if len(values) else np.zeros(1, np.int32)
+    """A list for each row of ``values``; there may be none, as a batch can hold the sums alone or only what is dropped."""
+    ends = np.arange(len(values) + 1, dtype=np.int32) * math.prod(values.shape[1:])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1), kind))
 
 
@@ -110,7 +112,7 @@ class _Round:
         for b in batches:
             b, vecs, codes, dists = self.state(b)
             total = total + sums(vecs, codes, self.books.shape[1])
-            lists = [_lists(vecs.reshape(len(vecs), -1), pa.int32()), _lists(codes, pa.int32()), _lists(dists, pa.int64())]
+            lists = [_lists(vecs, pa.int32()), _lists(codes, pa.int32()), _lists(dists, pa.int64())]
             out = [b["vec_id"], b["label"], *lists, pa.nulls(len(b), pa.list_(pa.int64()))]
             row = row or [x.type for x in out]
             yield pa.RecordBatch.from_arrays(out, names=self.names)

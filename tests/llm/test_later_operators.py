@@ -70,6 +70,21 @@ def test_codes_drop_what_is_no_vector(spark):
     assert {(r.error, r.code) for r in codes.compressed(huge).collect()} == {(0, "00" * 8)}
 
 
+@pytest.mark.parametrize("dropped", [0, 4])
+def test_codes_where_batches_hold_no_vector(spark, dropped):
+    """Batches of four rows: the sums of each round come alone in one, and a first one may have only dropped rows."""
+    own = random.Random(4)
+    good = [(10 + i, [float(np.float32(own.gauss(0, 0.3))) for _ in range(16)], i % 3) for i in range(24)]
+    bad = [(i, None, 1) for i in range(dropped)]
+    df = spark.createDataFrame([(*r, "", 0) for r in bad + good], VEC).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = codes.compressed(df)
+        assert sorted(map(tuple, got.collect()), key=repr) == lloyd(good)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_unmoved_entries_are_not_compared_again():
     gen = np.random.default_rng(3)
     vecs = gen.integers(-500, 500, (400, 2, 4))
