@@ -69,7 +69,7 @@ def sums(vecs: np.ndarray, codes: np.ndarray, entries: int) -> np.ndarray:
 
 
 def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """A list for each row of ``values``; there may be none, as a batch can hold the sums alone or only what is dropped."""
+    """A list for each row of ``values``; there may be none, as a batch can hold only what is dropped."""
     ends = np.arange(len(values) + 1, dtype=np.int32) * math.prod(values.shape[1:])
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1), kind))
 
@@ -101,7 +101,6 @@ class _Round:
             b = b.filter(pa.array(kept))
             codes, dists = (np.zeros((len(vecs), parts), np.int64) for _ in range(2))
         else:
-            b = b.filter(b["vec"].is_valid())
             vecs, codes, dists = _matrix(b["vec"], parts * width), _matrix(b["codes"], parts), _matrix(b["dists"], parts)
         vecs = vecs.reshape(-1, parts, width)
         assign(vecs, codes, dists, self.books, self.moved)
@@ -164,9 +163,14 @@ def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
     names = ["vec_id", "label", "vec", "codes", "dists", "sums"]
     schema = f"{ids}, vec array<int>, codes array<int>, dists array<long>, sums array<long>"
     state, moved = None, np.ones(books.shape[:2], bool)
+
+    def vectors_of(state: DataFrame | None) -> DataFrame:
+        # Without sums: for each row, Spark's Arrow writer goes over all nulls of a batch at the end of a list column.
+        return rows if state is None else state.where("sums IS NULL").drop("sums")
+
     for _ in range(rounds):
         before = state
-        state = written((rows if state is None else state).mapInArrow(_Round(books, moved, state is None, names), schema), "lloyd")
+        state = written(vectors_of(state).mapInArrow(_Round(books, moved, state is None, names), schema), "lloyd")
         if before is not None:
             discard(before)
         # A row a task; the sums have parts x entries x (1 + width) numbers.
@@ -177,7 +181,7 @@ def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
         total = total.reshape(*books.shape[:2], -1)
         new = np.where(total[..., :1] > 0, total[..., 1:] // np.maximum(total[..., :1], 1), books)
         moved, books = (new != books).any(axis=2), new
-    last = (rows if state is None else state).mapInArrow(
+    last = vectors_of(state).mapInArrow(
         _Last(books, moved, state is None, ["vec_id", "label", "code", "error"]), f"{ids}, code string, error long"
     )
     coded = written(last, "coded")

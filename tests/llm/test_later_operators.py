@@ -72,7 +72,7 @@ def test_codes_drop_what_is_no_vector(spark):
 
 @pytest.mark.parametrize("dropped", [0, 4])
 def test_codes_where_batches_hold_no_vector(spark, dropped):
-    """Batches of four rows: the sums of each round come alone in one, and a first one may have only dropped rows."""
+    """Batches of four rows: the sums of each round would come alone in one, and a first one may have only dropped rows."""
     own = random.Random(4)
     good = [(10 + i, [float(np.float32(own.gauss(0, 0.3))) for _ in range(16)], i % 3) for i in range(24)]
     bad = [(i, None, 1) for i in range(dropped)]
